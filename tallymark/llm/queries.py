@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import license_scan, oracles, quality_rules, secret_scan
+from . import bpe_lexicon, license_scan, oracles, packing, quality_rules, secret_scan, token_counts
 from .common import documents
 
 
+def op1_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_lexicon.encode_digests(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(documents(spark, sf_dir))
 
@@ -19,6 +24,14 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts.drop("char_distance", "word_distance", "nearest_lang")
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op8_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_scan(documents(spark, sf_dir)).select(
         "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"
