@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_lexicon, license_scan, oracles, packing, quality_rules, secret_scan, token_counts
+from . import bpe_lexicon, license_scan, minhash_join, oracles, packing, quality_rules, secret_scan, token_counts
 from .common import documents
 
 
@@ -28,6 +28,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op6_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_join.near_duplicates(documents(spark, sf_dir), shingle=3, percent=85)
+
+
 def op8_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
