@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe_lexicon, license_scan, minhash_join, oracles, packing, quality_rules, secret_scan, token_counts
+from . import bpe_lexicon, flac, license_scan, minhash_join, oracles, packing, quality_rules, secret_scan, suffix_dedup, token_counts
 from .common import documents
 
 
@@ -15,6 +16,12 @@ def op1_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_lexicon.encode_digests(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.repeated_passages(documents(spark, sf_dir))
+    listed = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return found.select("doc_id", "n_repeat_words", "n_cut_words", listed("repeats").alias("repeats"), listed("cuts").alias("cuts"))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(documents(spark, sf_dir))
 
@@ -32,6 +39,10 @@ def op6_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_join.near_duplicates(documents(spark, sf_dir), shingle=3, percent=85)
 
 
+def op7_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flac.round_trip(documents(spark, sf_dir))
+
+
 def op8_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
