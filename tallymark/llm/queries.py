@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_lexicon, flac, license_scan, minhash_join, oracles, packing, quality_rules, secret_scan, suffix_dedup, token_counts
+from . import bpe_lexicon, crf_quality, flac, license_scan, minhash_join, oracles, packing, quality_rules, secret_scan, suffix_dedup, token_counts
 from .common import documents
 
 
@@ -47,6 +47,10 @@ def op8_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crf_quality.score_quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_scan(documents(spark, sf_dir)).select(
         "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"
