@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import each_row, stored
+from .common import as_batch, each_row, stored, to_arrow
 
 # Frequent function words of each language.
 COMMON_WORDS = {
@@ -175,7 +175,35 @@ def quality_rules(
     and fail; repeated rows are judged each; an empty table gives an empty result; extra columns are ignored.
     """
     measures = stored(measure(docs, id_col, text_col, lang_col), "quality-measures")
-    refs = references(measures, rules.max_languages)
+    judge = _judge_maker(references(measures, rules.max_languages), rules)
+    return measures.mapInArrow(judge, VERDICTS)
+
+
+def accepted(
+    docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
+) -> DataFrame:
+    """The rows that the rules keep, whole and unchanged.
+
+    Each row is measured where it is read and judged at once, so texts are never moved to meet their verdict.
+    """
+    judge = _judge_maker(references(measure(docs, id_col, text_col, lang_col), rules.max_languages), rules)
+    at = docs.columns.index(text_col)
+    schema = to_arrow(docs.sparkSession, MEASURES)
+
+    def run(batches):
+        measure_row = _measure_maker()
+        for b in batches:
+            for start in range(0, b.num_rows, 1000):
+                part = b.slice(start, 1000)
+                rows = [measure_row(0, t.as_py(), None) for t in part.column(at)]
+                for verdict in judge([as_batch(rows, schema)]):
+                    yield part.filter(verdict.column("kept"))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _judge_maker(refs: dict[str, tuple[list[int], list[int]]], rules: Rules):
+    """A function from batches of measures to batches of verdicts."""
     names = sorted(refs)
 
     def judge(batches):
@@ -210,4 +238,4 @@ def quality_rules(
                 names=[c.split()[0] for c in VERDICTS.split(", ")],
             )
 
-    return measures.mapInArrow(judge, VERDICTS)
+    return judge

@@ -168,16 +168,30 @@ def secret_scan(
 
 
 def redacted(text: Column, live: Column, mark: str = "[redacted]") -> Column:
-    """The text with each live value replaced. ``live`` is sorted by start; overlapping spans are replaced once."""
+    """The text with each live value replaced.
+
+    ``live`` is sorted by start; overlapping spans are replaced once, and a span whose value isn't at its place is not.
+    """
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+    part = lambda a, n: F.substring(text, (a + 1).cast("int"), n.cast("int"))
 
     def step(acc, s):
-        keep = F.substring(text, (acc["at"] + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int"))
-        fresh = s["start"] >= acc["at"]
+        keep = part(acc["at"], F.greatest(s["start"] - acc["at"], F.lit(0).cast("long")))
+        there = part(s["start"], F.length(s["value"])) == s["value"]
+        fresh = there & (s["start"] >= acc["at"])
         return F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
+            F.when(there, F.greatest(acc["at"], s["end"])).otherwise(acc["at"]).alias("at"),
             F.when(fresh, F.concat(acc["out"], keep, F.lit(mark))).otherwise(acc["out"]).alias("out"),
         )
 
-    rest = lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text)))
+    rest = lambda acc: F.concat(acc["out"], part(acc["at"], F.length(text)))
     return F.when(F.size(live) > 0, F.aggregate(live, start, step, rest)).otherwise(text)
+
+
+def without_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows with live values redacted from their texts; all rows and columns stay."""
+    found = secret_scan(docs, id_col=id_col, text_col=text_col, **options)
+    live = found.filter("n_live > 0 and doc_id is not null").select(F.col("doc_id").alias(id_col), F.col("live").alias("live_spans"))
+    joined = docs.join(live.dropDuplicates([id_col]), id_col, "left")
+    text = F.when(F.col("live_spans").isNull(), F.col(text_col)).otherwise(redacted(F.col(text_col), F.col("live_spans")))
+    return joined.withColumn(text_col, text).select(*docs.columns)
