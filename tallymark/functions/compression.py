@@ -18,6 +18,33 @@ def compress(data: bytes) -> bytes:
     return pa.compress(data, codec="lz4_raw", asbytes=True) if data else b""
 
 
+def block_size(data: bytes) -> int:
+    """The size a block decompresses to, from its sequences of literals and matches."""
+
+    def extended(n: int, at: int) -> tuple[int, int]:
+        if n == 15:
+            while True:
+                more = data[at]
+                n, at = n + more, at + 1
+                if more < 255:
+                    break
+        return n, at
+
+    size = at = 0
+    try:
+        while at < len(data):
+            token = data[at]
+            literals, at = extended(token >> 4, at + 1)
+            size, at = size + literals, at + literals
+            if at == len(data):
+                return size
+            match, at = extended(token & 15, at + 2)
+            size += match + 4
+    except IndexError:
+        pass
+    raise ValueError("not an LZ4 block")
+
+
 def decompress(data: bytes, size: int) -> bytes:
     """Exactly ``size`` bytes, else an error."""
     if not 0 <= size <= MAX_OUTPUT:
@@ -26,13 +53,12 @@ def decompress(data: bytes, size: int) -> bytes:
         if data:
             raise ValueError("the block holds more than the size given")
         return b""
+    if block_size(data) != size:
+        raise ValueError("the block doesn't hold the size given")
     try:
-        out = pa.decompress(data, decompressed_size=size, codec="lz4_raw", asbytes=True)
+        return pa.decompress(data, decompressed_size=size, codec="lz4_raw", asbytes=True)
     except (OSError, pa.ArrowException) as e:
         raise ValueError("not an LZ4 block of that size") from e
-    if len(out) != size:
-        raise ValueError("the block holds less than the size given")
-    return out
 
 
 @F.pandas_udf(BinaryType())

@@ -42,9 +42,10 @@ def common_root(paths: Iterable[str], base: str | None = None, allowed: str | No
         if not p:
             continue
         full = resolved(p, base) if base else posixpath.normpath(p)
-        parts = posixpath.dirname(full).split("/")
+        folder = posixpath.dirname(full)
+        parts = [""] if folder == "/" else folder.split("/") if folder else []
         if allowed is None or parts[: len(limit := resolved(allowed).rstrip("/").split("/"))] == limit:
-            folders.append([""] if parts == ["", ""] else parts)
+            folders.append(parts)
     if not folders:
         return ""
     low, high = min(folders), max(folders)

@@ -134,7 +134,11 @@ def read_compressed(spark: SparkSession, *paths: str) -> DataFrame:
     """(path, uncompressed_size, data): files as LZ4 blocks, up to 512 MiB each; empty files are empty."""
     files = read_contents(spark, *paths)
     fits = F.when(F.col("length") <= MAX_FILE, F.col("content")).otherwise(F.raise_error(F.lit("file is too large")).cast("binary"))
-    return files.select("path", F.col("length").alias("uncompressed_size"), compression.lz4_block(fits).alias("data"))
+    packed = files.select("path", F.col("length").alias("uncompressed_size"), compression.lz4_block(fits).alias("data"))
+    # the file scan leaves out files without content
+    listed = stat_paths(spark.createDataFrame([(p,) for p in paths], "path string")).filter("size = 0")
+    empty = listed.select(F.concat(F.lit("file:"), F.col("path")).alias("path"), F.col("size").alias("uncompressed_size"), F.lit(b"").alias("data"))
+    return packed.filter("uncompressed_size > 0").unionByName(empty)
 
 
 def write_decompressed(blocks: DataFrame) -> int:
