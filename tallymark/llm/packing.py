@@ -39,7 +39,7 @@ class IdBytes:
             if isinstance(part, int):
                 out.append(part.to_bytes(4, "little"))
                 continue
-            fresh = list(set(part) - self._memo.keys())
+            fresh = list(set(part).difference(self._memo))
             if fresh:
                 if len(self._memo) > self._memo_words:
                     self._memo.clear()

@@ -23,7 +23,7 @@ class WordHashes:
         self._memo_words = memo_words
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
-        fresh = set(words) - self._memo.keys()
+        fresh = set(words).difference(self._memo)
         if fresh:
             if len(self._memo) > self._memo_words:
                 self._memo.clear()

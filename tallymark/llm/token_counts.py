@@ -58,7 +58,7 @@ class PieceCounter:
             words = [w[1:] for w in self._WORDS.findall(" " + text)]
         else:
             words = text.split(" ")
-        fresh = list(set(words) - self._memo.keys())
+        fresh = list(set(words).difference(self._memo))
         if fresh:
             if len(self._memo) > self._memo_words:
                 self._memo.clear()
