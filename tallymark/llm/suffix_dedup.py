@@ -155,7 +155,8 @@ def repeated_passages(docs: DataFrame, passage: int = 50, id_col: str = "doc_id"
     """
     size = passage // 3 + 1
     every = stored(suffixes(docs.filter(docs[id_col].isNotNull()), passage, size, id_col, text_col), "suffixes")
-    beginnings = every.groupBy("start_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("start_key")
+    # written first: a join with a finished table can be split where one beginning has very many suffixes
+    beginnings = stored(every.groupBy("start_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("start_key"), "beginnings")
     near = stored(every.join(beginnings, "start_key"), "neighbours")
 
     classes = stored(
