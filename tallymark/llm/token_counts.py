@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, scratch_root
+from .common import id_and_text, scratch_root, stored
 
 _CACHE = "tokenizer_digest string, content_digest binary, n_tokens long"
 
@@ -129,12 +129,14 @@ def token_counts(
     misses = contents.repartition("content_digest").mapInArrow(_counting(tokenizer_path, version), _CACHE)
     misses.write.mode("append").parquet(path)
 
-    counts = (
+    # written first: a join with a finished table can be split where very many rows hold one content
+    counts = stored(
         spark.read.schema(_CACHE)
         .parquet(path)
         .filter(F.col("tokenizer_digest") == version)
         .groupBy("content_digest")
-        .agg(F.max("n_tokens").alias("n_tokens"))  # concurrent runs may both have appended a content
+        .agg(F.max("n_tokens").alias("n_tokens")),  # concurrent runs may both have appended a content
+        "token-counts",
     )
     keyed = rows.select(
         "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.unhex(F.sha2("text", 256)).alias("content_digest")
