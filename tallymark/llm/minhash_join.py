@@ -8,8 +8,12 @@ signature.  Two nodes are candidates if they collide in at least ``min_matches``
   those are merged; values that very many nodes hold come last and mostly fall outside the prefix.
 
 Candidates are confirmed on full sets.  To find classes it is not needed to list all pairs of a posting: its members
-are first compared with one leader, twice; only members that still belong to different classes are then paired, all of
-them.  So a posting of many copies of one text costs as many comparisons as it has members, and no link is lost.
+are first compared with one leader, twice; only members that still belong to different classes are then paired.  So a
+posting of many copies of one text costs as many comparisons as it has members, and no link is lost.
+
+A bitmap filter decides which of the paired are worth a look at their sets: a node holds one parity bit for each of 512
+buckets of its shingles.  Where two bits differ, at least one shingle of that bucket is in one set alone, so the bits
+that differ can't outnumber the shingles not shared; more of them than a link allows rule it out for certain.
 """
 
 from __future__ import annotations
@@ -22,9 +26,10 @@ from pyspark.sql import functions as F
 
 from .common import id_and_text, stored
 from .components import components
-from .shingles import WordHashes, shingle_set
+from .shingles import WordHashes, mixed, shingle_set
 
-_SIGNED = "doc_id long, n_shingles long, hi long, lo long, signature array<int>"
+_SIGNED = "doc_id long, n_shingles long, hi long, lo long, signature array<int>, parity array<long>"
+_PARITY_WORDS = 8
 
 
 def _digest(shingles: np.ndarray) -> tuple[int, int]:
@@ -49,8 +54,22 @@ def _sets(batches, shingle: int, group_chars: int = 2_000_000):
         yield ids, sets
 
 
+def _parity(shingles: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """For each set (they lie one after another) whether each bucket holds an odd number of its shingles, packed."""
+    buckets = 64 * _PARITY_WORDS
+    bucket = (mixed(shingles ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(buckets)).astype(np.int64)
+    counts = np.bincount(np.repeat(np.arange(len(lengths)) * buckets, lengths) + bucket, minlength=len(lengths) * buckets)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64).reshape(len(lengths), _PARITY_WORDS)
+
+
+def _may_link(percent: int):
+    """False only for nodes a and b that can't link, by the bitmap filter."""
+    differ = sum((F.bit_count(F.col("parity_a")[i].bitwiseXOR(F.col("parity_b")[i])) for i in range(_PARITY_WORDS)), F.lit(0))
+    return (100 + percent) * differ <= (100 - percent) * (F.col("n_a") + F.col("n_b"))
+
+
 def signatures(docs: DataFrame, shingle: int, coordinates: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n_shingles, digest of the set, signature) of each row; an empty set has no signature."""
+    """(doc_id, n_shingles, digest of the set, signature, parity bits) of each row; an empty set has neither of the last."""
 
     def run(batches):
         draw = np.random.default_rng(20_081)
@@ -60,23 +79,26 @@ def signatures(docs: DataFrame, shingle: int, coordinates: int, id_col: str, tex
             lengths = np.array([len(s) for s in sets])
             some = np.flatnonzero(lengths)
             signed = np.zeros((len(some), coordinates), dtype=np.uint32)
+            parity = np.zeros((len(some), _PARITY_WORDS), dtype=np.int64)
             if len(some):
                 every = np.concatenate([sets[i] for i in some])
                 starts = np.cumsum(lengths[some]) - lengths[some]
                 for j in range(coordinates):
                     signed[:, j] = np.minimum.reduceat((every * a[j] + c[j]) >> np.uint64(32), starts)
+                parity = _parity(every, lengths[some])
             digests = [_digest(s) if len(s) else (None, None) for s in sets]
             offsets = np.zeros(len(sets) + 1, dtype=np.int32)
-            offsets[1:] = np.cumsum(np.where(lengths > 0, coordinates, 0))
+            offsets[1:] = np.cumsum(lengths > 0)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(ids, pa.int64()),
                     pa.array(lengths, pa.int64()),
                     pa.array([d[0] for d in digests], pa.int64()),
                     pa.array([d[1] for d in digests], pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed.reshape(-1).view(np.int32))),
+                    pa.ListArray.from_arrays(pa.array(offsets * np.int32(coordinates)), pa.array(signed.reshape(-1).view(np.int32))),
+                    pa.ListArray.from_arrays(pa.array(offsets * np.int32(_PARITY_WORDS)), pa.array(parity.reshape(-1))),
                 ],
-                names=["doc_id", "n_shingles", "hi", "lo", "signature"],
+                names=["doc_id", "n_shingles", "hi", "lo", "signature", "parity"],
             )
 
     return id_and_text(docs, id_col, text_col).mapInArrow(run, _SIGNED)
@@ -112,11 +134,11 @@ class _Links:
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose signatures match often enough and whose full sets are similar."""
-        side = lambda df, name, value: df.select(F.col("node").alias(name), F.col(value).alias(f"{value}_{name}"))
+        side = lambda df, name, *values: df.select(F.col("node").alias(name), *[F.col(v).alias(f"{v}_{name}") for v in values])
         near = (
-            pairs.join(side(self._nodes, "a", "posted"), "a")
-            .join(side(self._nodes, "b", "posted"), "b")
-            .filter(F.size(F.array_intersect("posted_a", "posted_b")) >= self._min_matches)
+            pairs.join(side(self._nodes, "a", "posted", "parity", "n"), "a")
+            .join(side(self._nodes, "b", "posted", "parity", "n"), "b")
+            .filter(_may_link(self._percent) & (F.size(F.array_intersect("posted_a", "posted_b")) >= self._min_matches))
             .select("a", "b")
         )
         both = near.join(side(self._sets, "a", "shingles"), "a").join(side(self._sets, "b", "shingles"), "b")
@@ -163,8 +185,8 @@ def near_duplicates(
         .groupBy("node")
         .agg(F.sort_array(F.collect_list(F.struct("n", "code"))).alias("held"))  # at most one for each coordinate
         .filter(F.size("held") >= min_matches)
-        .join(nodes.select("node", "hi", "lo", "n_shingles"), "node")
-        .select("node", "hi", "lo", "n_shingles", F.col("held.code").alias("posted"))
+        .join(nodes.select("node", "hi", "lo", "n_shingles", "parity"), "node")
+        .select("node", "hi", "lo", "n_shingles", "parity", F.col("held.code").alias("posted"))
     )
     able = stored(able, "able-nodes")
     prefix = F.slice("posted", F.lit(1), F.size("posted") - (min_matches - 1))
@@ -176,7 +198,7 @@ def near_duplicates(
 
     members = posts.select("node").distinct()
     sets = stored(_full_sets(docs, able.join(members, "node", "left_semi").select("node", "hi", "lo"), shingle, id_col, text_col), "full-sets")
-    links = _Links(able.select("node", "posted"), sets, percent, min_matches)
+    links = _Links(able.select("node", "posted", "parity", F.col("n_shingles").alias("n")), sets, percent, min_matches)
 
     leader = posts.groupBy("code").agg(F.min(F.struct(F.col("node").alias("a"), F.col("n_shingles").alias("n_a"))).alias("l")).select("code", "l.*")
     pairs = posts.withColumnsRenamed({"node": "b", "n_shingles": "n_b"}).join(leader, "code").filter("a <> b").filter(fits).select("a", "b").distinct()
@@ -191,12 +213,12 @@ def near_duplicates(
     edges = edges.unionByName(more)
     grouped = _grouped(posts, edges)
 
-    # all that are left apart in a posting
+    # all that are left apart in a posting; those that the bitmap filter rules out never leave the join
     apart = grouped.groupBy("code").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("code")
-    rest = stored(grouped.join(apart, "code"), "apart")
-    left = rest.withColumnsRenamed({"node": "a", "n_shingles": "n_a", "component": "c_a"})
-    right = rest.withColumnsRenamed({"node": "b", "n_shingles": "n_b", "component": "c_b"})
-    pairs = left.join(right, "code").filter("a < b and c_a <> c_b").filter(fits).select("a", "b").distinct()
+    rest = stored(grouped.join(apart, "code").join(able.select("node", "parity"), "node"), "apart")
+    left = rest.withColumnsRenamed({"node": "a", "n_shingles": "n_a", "component": "c_a", "parity": "parity_a"})
+    right = rest.withColumnsRenamed({"node": "b", "n_shingles": "n_b", "component": "c_b", "parity": "parity_b"})
+    pairs = left.join(right, "code").filter("a < b and c_a <> c_b").filter(fits).filter(_may_link(percent)).select("a", "b").distinct()
     edges = edges.unionByName(stored(links.confirmed(pairs), "edges"))
 
     found = components(edges)

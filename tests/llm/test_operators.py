@@ -133,6 +133,19 @@ def test_chained_links(spark):
     assert 100 * len(sets[0] & sets[11]) < 85 * len(sets[0] | sets[11]) and set(got.values()) == {0}
 
 
+def test_parity_never_rules_out_a_link():
+    draw = np.random.default_rng(4)
+    for size in (1, 30, 150, 4000):
+        base = np.unique(draw.integers(0, 2**63, size, dtype=np.uint64))
+        for edits in (0, 1, size // 20, size // 12, size // 3):
+            other = np.unique(np.concatenate([base[edits:], draw.integers(0, 2**63, edits, dtype=np.uint64)]))
+            bits = minhash_join._parity(np.concatenate([base, other]), np.array([len(base), len(other)]))
+            differ = sum(int(x).bit_count() for x in (bits[0] ^ bits[1]).view(np.uint64))
+            apart = len(np.setxor1d(base, other))
+            assert differ <= apart and (size == 4000 or differ >= apart * 0.6)
+    assert minhash_join._parity(np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)).shape == (0, 8)
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(30)] + [(50, 49), (49, 48), (7, 7)]
     got = {r.node: r.component for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
