@@ -144,9 +144,12 @@ class Encoder:
         self._memo_words = memo_words
         self._tokens = {i: t for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
 
-    def _learn(self, fresh: list[str]) -> None:
+    def _learn(self, words: set[str]) -> None:
+        fresh = words.difference(self._memo)
         if len(self._memo) + len(fresh) > self._memo_words:
             self._memo.clear()
+            fresh = words
+        fresh = list(fresh)
         for word, rank in zip(fresh, self._lexicon.ranks([w.encode("utf-8", "replace") for w in fresh]).tolist()):
             self._memo[word] = self._lexicon.ids(rank) if rank >= 0 else self._merges.ids(word)
 
@@ -155,10 +158,7 @@ class Encoder:
         words: set[str] = set()
         for part in parts:
             words.update(*[p for p in part if not isinstance(p, int)])
-        fresh = [w for w in words if w not in self._memo]
-        self._learn(fresh)
-        if len(fresh) < len(words) and not words <= self._memo.keys():  # the memo was emptied meanwhile
-            self._learn([w for w in words if w not in self._memo])
+        self._learn(words)
         ids = self._memo.__getitem__
         out = []
         for part in parts:

@@ -59,6 +59,13 @@ def test_bpe(spark, docs, rows):
     assert one.ids == t.encode("Hello hello", add_special_tokens=False).ids
 
 
+def test_bpe_memo_smaller_than_a_text():
+    t = tokenizers.Tokenizer.from_file(WORD)
+    encoder = bpe_lexicon.Encoder(WORD, bpe_lexicon.lexicon(["one", "two"], WORD), memo_words=4)
+    for text in ("one two red", "one two blue green grey pink teal gold", "gold one", "", "two red plum"):
+        assert encoder.encode_many([text, text]) == [t.encode(text, add_special_tokens=False).ids] * 2
+
+
 def test_transducer():
     words = sorted({w.encode() for w in "a ab abc b bc tap taps top tops stop stops é".split()})
     t = transducer.Transducer.mapped(transducer.compile_words({w: [i, i + 1] for i, w in enumerate(words)}))
