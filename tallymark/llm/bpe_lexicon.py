@@ -43,16 +43,19 @@ class Merges:
         return tuple([self._vocab[s] for s in symbols])
 
     def _short(self, symbols: list[str]) -> list[str]:
-        rank = self._rank.get
-        while len(symbols) > 1:
-            best, at = None, -1
-            for i, pair in enumerate(zip(symbols, symbols[1:])):
-                r = rank(pair)
-                if r is not None and (best is None or r < best):
-                    best, at = r, i
-            if best is None:
+        rank, none = self._rank.get, len(self._rank)
+        ranks = [rank(pair, none) for pair in zip(symbols, symbols[1:])]
+        while ranks:
+            best = min(ranks)
+            if best == none:
                 break
+            at = ranks.index(best)
             symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
+            del ranks[at]
+            if at < len(ranks):
+                ranks[at] = rank((symbols[at], symbols[at + 1]), none)
+            if at:
+                ranks[at - 1] = rank((symbols[at - 1], symbols[at]), none)
         return symbols
 
     def _long(self, symbols: list[str]) -> list[str]:
@@ -141,13 +144,16 @@ class Encoder:
         self._splitter, self._merges = maker(), Merges(spec)
         self._lexicon = Transducer.mapped(data)
         self._memo: dict[str, tuple[int, ...]] = {}
+        self._numbers: dict[str, str] = {}
+        self._decoded: dict[str, str] = {}
         self._memo_words = memo_words
         self._tokens = {i: t for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
 
     def _learn(self, words: set[str]) -> None:
         fresh = words.difference(self._memo)
         if len(self._memo) + len(fresh) > self._memo_words:
-            self._memo.clear()
+            for memo in (self._memo, self._numbers, self._decoded):
+                memo.clear()
             fresh = words
         fresh = list(fresh)
         for word, rank in zip(fresh, self._lexicon.ranks([w.encode("utf-8", "replace") for w in fresh]).tolist()):
@@ -171,6 +177,35 @@ class Encoder:
             out.append(one)
         return out
 
+    def written_many(self, texts: list[str]) -> list[tuple[int, str, str]]:
+        """For each text: its number of tokens, its ids with a space between them, and these ids decoded.
+
+        Decoding puts a space between tokens, so what a text's ids give is what its words' ids give, one after another.
+        """
+        parts = [self._splitter.parts(t) for t in texts]
+        words: set[str] = set()
+        for part in parts:
+            words.update(*[p for p in part if not isinstance(p, int)])
+        self._learn(words)
+        for word in words.difference(self._numbers):
+            ids = self._memo[word]
+            self._numbers[word] = " ".join(map(str, ids))
+            self._decoded[word] = self.decode(ids)
+        out = []
+        for part in parts:
+            numbers: list[str] = []
+            decoded: list[str] = []
+            for p in part:
+                if isinstance(p, int):
+                    numbers.append(str(p))
+                    decoded.append(self.decode([p]))
+                else:
+                    numbers.extend(map(self._numbers.__getitem__, p))
+                    decoded.extend(map(self._decoded.__getitem__, p))
+            joined = " ".join(numbers)
+            out.append((joined.count(" ") + 1 if joined else 0, joined, " ".join(decoded)))
+        return out
+
     def decode(self, ids: list[int]) -> str:
         """As the library without a decoder: the tokens with a space between them."""
         return " ".join(map(self._tokens.__getitem__, ids))
@@ -185,7 +220,11 @@ def encode(
     gives an empty result, other columns are ignored.  Memory follows a group of texts of a few megabytes, or one
     longer text.
     """
-    return _encoded(docs, tokenizer_path, lexicon_words, id_col, text_col, "doc_id long, ids array<int>, decoded string", lambda i, t: (i, t))
+
+    def rows(encoder, texts):
+        return [(ids, encoder.decode(ids)) for ids in encoder.encode_many(texts)]
+
+    return _encoded(docs, tokenizer_path, lexicon_words, id_col, text_col, "doc_id long, ids array<int>, decoded string", rows)
 
 
 def encode_digests(
@@ -193,10 +232,9 @@ def encode_digests(
 ) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row, without moving ids between processes."""
 
-    def digests(ids, decoded):
-        joined = " ".join(map(str, ids))
+    def digests(encoder, texts):
         sha = lambda s: hashlib.sha256(s.encode("utf-8", "replace")).hexdigest()
-        return (len(ids), sha(joined), sha(decoded))
+        return [(n, sha(ids), sha(decoded)) for n, ids, decoded in encoder.written_many(texts)]
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     return _encoded(docs, tokenizer_path, lexicon_words, id_col, text_col, schema, digests)
@@ -227,6 +265,6 @@ def _encoded(docs, tokenizer_path, lexicon_words, id_col, text_col, schema, shap
                 yield as_batch(rows(encoder, ids, texts), arrow_schema)
 
     def rows(encoder, ids, texts):
-        return [(i, *shape(e, encoder.decode(e))) for i, e in zip(ids, encoder.encode_many(texts))]
+        return [(i, *values) for i, values in zip(ids, shape(encoder, texts))]
 
     return id_and_text(docs, id_col, text_col).mapInArrow(run, schema)

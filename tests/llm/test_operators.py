@@ -63,7 +63,9 @@ def test_bpe_memo_smaller_than_a_text():
     t = tokenizers.Tokenizer.from_file(WORD)
     encoder = bpe_lexicon.Encoder(WORD, bpe_lexicon.lexicon(["one", "two"], WORD), memo_words=4)
     for text in ("one two red", "one two blue green grey pink teal gold", "gold one", "", "two red plum"):
-        assert encoder.encode_many([text, text]) == [t.encode(text, add_special_tokens=False).ids] * 2
+        ids = t.encode(text, add_special_tokens=False).ids
+        assert encoder.encode_many([text, text]) == [ids] * 2
+        assert encoder.written_many([text]) == [(len(ids), " ".join(map(str, ids)), t.decode(ids, skip_special_tokens=False))]
 
 
 def test_transducer():
