@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import token_words
-from .common import id_and_text
+from .common import id_and_text, stored
 from .transducer import Transducer, compile_words
 
 MAX_LEXICON_BYTES = 64 << 20
@@ -110,19 +110,30 @@ def _chunk_counts(batches):
 
 
 def frequent_words(docs: DataFrame, text_col: str, tokenizer_path: str, lexicon_words: int) -> list[str]:
-    """Words of the most frequent chunks over all rows; at most ``lexicon_words`` short chunks reach the driver."""
-    chunks = (
+    """Words of the most frequent chunks over all rows.
+
+    Chunks are ranked by bands of frequency, 32 to each doubling.  The driver gets the bands' sizes, then the highest
+    bands that hold at most ``lexicon_words`` chunks together.  Chunks of one place or over 64 characters are left out.
+    """
+    counts = (
         docs.select(docs[text_col].cast("string").alias("text"))
         .mapInArrow(_chunk_counts, "chunk string, n long")
+        .filter(F.length("chunk") <= 64)
         .groupBy("chunk")
         .agg(F.sum("n").alias("n"))
-        .filter(F.length("chunk") <= 64)
-        .orderBy(F.desc("n"), "chunk")
-        .limit(lexicon_words)
+        .filter("n > 1")
+        .withColumn("band", F.floor(F.log2("n") * 32).cast("int"))
     )
+    counts = stored(counts, "chunk-counts")
+    least, room = None, lexicon_words
+    for row in sorted(counts.groupBy("band").agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True):
+        if row["n"] > room:
+            break
+        least, room = row["band"], room - row["n"]
+    chunks = counts.filter(F.col("band") >= least).select("chunk", "n").collect() if least is not None else []
     splitter = token_words.load(tokenizer_path)[2]()
     weights: Counter = Counter()
-    for row in chunks.collect():
+    for row in chunks:
         for word in splitter.words(row["chunk"]):
             weights[word] += row["n"]
     return [w for w, _ in sorted(weights.items(), key=lambda x: (-x[1], x[0]))[:lexicon_words]]
