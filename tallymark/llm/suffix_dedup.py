@@ -18,7 +18,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_batch, id_and_text, stored, to_arrow
@@ -140,6 +140,12 @@ def minus(spans: list[tuple[int, int]], others: list[tuple[int, int]]) -> list[t
     return out
 
 
+def _skipped(doc_id: Column, at: Column, first_doc: Column, first_at: Column, passage: int) -> Column:
+    """How many words a window or stretch shares with its first place where they overlap; null for the first place."""
+    same = doc_id == first_doc
+    return F.when(same & (at == first_at), F.lit(None)).when(same, F.greatest(F.lit(0), first_at + passage - at)).otherwise(F.lit(0))
+
+
 _SPANS = "doc_id long, n_repeat_words long, n_cut_words long, repeats array<struct<start:int,end:int>>, cuts array<struct<start:int,end:int>>"
 
 
@@ -149,7 +155,9 @@ def repeated_passages(docs: DataFrame, passage: int = 50, id_col: str = "doc_id"
     Words are runs of characters other than ASCII white space, compared exactly.  ``repeats`` are the maximal stretches
     (in words, end exclusive) all of whose windows of ``passage`` words occur twice or more in the table, in one
     document or several; ``cuts`` are the parts to remove so that of each window only the first place stays, the one in
-    the document with the least id.  Documents without repeats, and null, empty and short texts, have no row.  Rows
+    the document with the least id.  Words of windows a document is first to hold stay where that leaves no window
+    twice.  Where it would (a passage of fewer than ``2 * passage - 1`` words inside a longer stretch that the document
+    is first to hold is all covered by such windows), the windows with an earlier place are cut whole.  Documents without repeats, and null, empty and short texts, have no row.  Rows
     with one doc_id are one document: the place with the least id is then in all of them and none is cut for another.
     Rows without a doc_id are left out.  An empty table gives an empty result; other columns are ignored.
     """
@@ -178,7 +186,7 @@ def repeated_passages(docs: DataFrame, passage: int = 50, id_col: str = "doc_id"
         "doc_id",
         F.col("at").alias("start"),
         (F.col("at") + passage).alias("end"),
-        (F.struct("doc_id", "at") != F.col("owner")).alias("cut"),
+        _skipped(F.col("doc_id"), F.col("at"), F.col("owner.doc_id"), F.col("owner.at"), passage).alias("skip"),
     )
     whole = (
         near.join(classes.filter("n > 1"), ["start_key", "hi", "lo"])
@@ -186,22 +194,23 @@ def repeated_passages(docs: DataFrame, passage: int = 50, id_col: str = "doc_id"
             near["doc_id"],
             near["low"].alias("start"),
             (near["high"] + passage).alias("end"),
-            (F.struct(near["doc_id"], near["low"], near["high"]) != F.col("first")).alias("cut"),
+            _skipped(near["doc_id"], near["low"], F.col("first.doc_id"), F.col("first.low"), passage).alias("skip"),
         )
     )
     spans = whole.unionByName(extended)
-    lists = spans.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end", "cut")).alias("spans"))
+    lists = spans.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end", "skip")).alias("spans"))
     schema = to_arrow(docs.sparkSession, _SPANS)
 
     def join_spans(batches):
         for b in batches:
             out = []
             for i, found in zip(b.column(0).to_pylist(), b.column(1)):
-                found = [(s["start"], s["end"], s["cut"]) for s in found.as_py()]
+                found = [(s["start"], s["end"], s["skip"]) for s in found.as_py()]
                 repeats = union([(a, z) for a, z, _ in found])
-                extended = {(a, z) for a, z, cut in found if cut}
-                kept = union([(a, z) for a, z, cut in found if not cut and (a, z) not in extended])
+                extended = {(a, z) for a, z, skip in found if skip is not None}
+                kept = union([(a, z) for a, z, skip in found if skip is None and (a, z) not in extended])
                 cuts = minus(union(sorted(extended)), _owned(kept, extended, passage))
+                cuts = union(cuts + _left_whole(found, cuts, passage))
                 as_rows = lambda x: [{"start": a, "end": z} for a, z in x]
                 length = lambda x: sum(z - a for a, z in x)
                 out.append((i, length(repeats), length(cuts), as_rows(repeats), as_rows(cuts)))
@@ -217,6 +226,16 @@ def _owned(kept, cut_windows, passage) -> list[tuple[int, int]]:
     return union([(a, z + passage - 1) for a, z in starts])
 
 
+def _left_whole(found, cuts, passage) -> list[tuple[int, int]]:
+    """The words of windows with an earlier place that the cuts leave whole, without the first ``skip`` of each."""
+    hit = union([(a - passage + 1, z) for a, z in cuts])  # starts of windows that the cuts reach
+    starts: dict[int, list[tuple[int, int]]] = {}
+    for a, z, skip in found:
+        if skip is not None:
+            starts.setdefault(skip, []).append((a, z - passage + 1))
+    return [(a + skip, z + passage - 1) for skip, spans in starts.items() for a, z in minus(union(spans), hit)]
+
+
 def without_cuts(docs: DataFrame, cuts: DataFrame, columns: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows with the cut words removed from their texts; rows that have no word left are gone."""
     at = columns.index(text_col)

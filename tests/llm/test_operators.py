@@ -109,6 +109,31 @@ def test_repeated_passages(spark, docs, rows):
     assert not again or max(again.values()) == 1
 
 
+def test_passage_inside_a_longer_repeat(spark):
+    draw = random.Random(8)
+    text = lambda n: [f"w{draw.randrange(10**9)}" for _ in range(n)]
+    left, right = text(60), text(70)
+    for n in (50, 60, 98, 99, 200):
+        inner = text(n)
+        whole = " ".join(left + inner + right)
+        docs = made(spark, [(1, " ".join(text(20) + inner + text(5))), (2, whole), (3, whole), (4, " ".join(text(30) + inner))])
+        found = suffix_dedup.repeated_passages(docs).cache()
+        cuts = {r.doc_id: [(c.start, c.end) for c in r.cuts] for r in found.collect()}
+        own = 49 if n > 98 else 0  # those of the stretch's first windows that can stay
+        assert cuts == {1: [], 2: [(60 + own, 60 + n - own)], 3: [(0, 130 + n)], 4: [(30, 30 + n)]}
+        texts = {r.doc_id: r.text for r in suffix_dedup.without_cuts(docs, found, docs.columns).collect()}
+        windows = collections.Counter(tuple(w[s : s + 50]) for w in map(str.split, texts.values()) for s in range(len(w) - 49))
+        assert 3 not in texts and max(windows.values()) == 1
+
+
+def test_passage_over_its_own_first_place(spark):
+    """A run of short period keeps the first place of each of its windows, where no earlier document holds them."""
+    period = [f"p{k}" for k in range(7)]
+    rows = [(1, " ".join(["a"] * 120)), (2, " ".join(["a"] * 90)), (3, " ".join(period * 30))]
+    got = {r.doc_id: [(c.start, c.end) for c in r.cuts] for r in suffix_dedup.repeated_passages(made(spark, rows)).collect()}
+    assert got == {1: [(50, 120)], 2: [(0, 90)], 3: [(56, 210)]}
+
+
 def test_near_duplicates(spark, docs, rows):
     def shingles(t):
         w = (t or "").encode().lower().split()
