@@ -27,10 +27,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that of the least doc_id. Rows without a doc_id stay."""
-    kept = minhash_join.near_duplicates(docs).filter("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
-    return named.unionByName(docs.filter("doc_id is null"))
+    """One document of each group of near-duplicates: that of the least doc_id.
+
+    Rows without a doc_id stay unless a row that has one holds the same set.
+    """
+    return minhash_join.kept_rows(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -46,6 +46,11 @@ def id_and_text(df: DataFrame, id_col: str, text_col: str, *more: str) -> DataFr
     )
 
 
+def text_key(text: Column) -> Column:
+    """What tells rows apart whose ids don't: a digest of the text; a null text counts as empty."""
+    return F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256)
+
+
 def each_row(
     df: DataFrame, schema: str, make: Callable[[], Callable[..., tuple | None]], columns: list[str], rows_out: int = 2000
 ) -> DataFrame:

@@ -24,11 +24,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, stored
+from .common import id_and_text, stored, text_key
 from .components import components
 from .shingles import WordHashes, mixed, shingle_set
 
-_SIGNED = "doc_id long, n_shingles long, hi long, lo long, signature array<int>, parity array<long>"
+_SIGNED = "doc_id long, n_shingles long, hi long, lo long, signature array<int>, parity array<long>, text_key string"
 _PARITY_WORDS = 8
 
 
@@ -37,12 +37,12 @@ def _digest(shingles: np.ndarray) -> tuple[int, int]:
     return int(data[0]), int(data[1])
 
 
-def _sets(batches, shingle: int, group_chars: int = 2_000_000):
-    """Groups of (ids, shingle sets) of a few megabytes of text, or one longer text."""
+def _sets(batches, shingle: int, group_chars: int = 2_000_000, label=lambda b: b.column(0).to_pylist()):
+    """Groups of (ids or other labels, shingle sets) of a few megabytes of text, or one longer text."""
     hashes = WordHashes()
     ids, sets, size = [], [], 0
     for b in batches:
-        for i, t in zip(b.column(0).to_pylist(), b.column(1)):
+        for i, t in zip(label(b), b.column(1)):
             data = (t.as_py() or "").encode("utf-8", "replace").lower()
             ids.append(i)
             sets.append(shingle_set(hashes(data.split()), shingle))
@@ -69,13 +69,17 @@ def _may_link(percent: int):
 
 
 def signatures(docs: DataFrame, shingle: int, coordinates: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n_shingles, digest of the set, signature, parity bits) of each row; an empty set has neither of the last."""
+    """(doc_id, n_shingles, digest of the set, signature, parity bits, text key) of each row.
+
+    An empty set has neither signature nor parity bits, a row with an id has no text key.
+    """
 
     def run(batches):
         draw = np.random.default_rng(20_081)
         a = draw.integers(0, 2**63, coordinates, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         c = draw.integers(0, 2**63, coordinates, dtype=np.uint64)
-        for ids, sets in _sets(batches, shingle):
+        for labels, sets in _sets(batches, shingle, label=lambda b: list(zip(b.column(0).to_pylist(), b.column(2).to_pylist()))):
+            ids, keys = zip(*labels)
             lengths = np.array([len(s) for s in sets])
             some = np.flatnonzero(lengths)
             signed = np.zeros((len(some), coordinates), dtype=np.uint32)
@@ -97,11 +101,13 @@ def signatures(docs: DataFrame, shingle: int, coordinates: int, id_col: str, tex
                     pa.array([d[1] for d in digests], pa.int64()),
                     pa.ListArray.from_arrays(pa.array(offsets * np.int32(coordinates)), pa.array(signed.reshape(-1).view(np.int32))),
                     pa.ListArray.from_arrays(pa.array(offsets * np.int32(_PARITY_WORDS)), pa.array(parity.reshape(-1))),
+                    pa.array(keys, pa.string()),
                 ],
-                names=["doc_id", "n_shingles", "hi", "lo", "signature", "parity"],
+                names=["doc_id", "n_shingles", "hi", "lo", "signature", "parity", "text_key"],
             )
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, _SIGNED)
+    texts = id_and_text(docs, id_col, text_col).withColumn("text_key", F.when(F.col("doc_id").isNull(), text_key(F.col("text"))))
+    return texts.mapInArrow(run, _SIGNED)
 
 
 def _full_sets(docs: DataFrame, nodes: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
@@ -155,8 +161,9 @@ def near_duplicates(
     min_matches: int | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
+    keyed: bool = False,
 ) -> DataFrame:
-    """One row per input row: (doc_id, n_shingles, component_id, kept).
+    """One row per input row: (doc_id, n_shingles, component_id, kept), and the text key of rows without an id if ``keyed``.
 
     Words are runs of characters other than ASCII white space, with A-Z lowered.  Rows link if
     ``100 * intersection >= percent * union`` of their sets of distinct shingles.  ``min_matches`` defaults to five
@@ -223,10 +230,19 @@ def near_duplicates(
 
     found = components(edges)
     by_set = classes.join(found, "node", "left").select("hi", "lo", F.coalesce("component", "node").alias("component"))
-    joined = sized.join(by_set, ["hi", "lo"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-    empty = signed.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    joined = sized.join(by_set, ["hi", "lo"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), "text_key")
+    empty = signed.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "text_key")
     kept = F.when(F.col("component_id").isNull(), True).otherwise(F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
-    return joined.unionByName(empty).withColumn("kept", kept)
+    return joined.unionByName(empty).select("doc_id", "n_shingles", "component_id", kept.alias("kept"), *(["text_key"] if keyed else []))
+
+
+def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows that ``near_duplicates`` keeps, with all columns; rows without an id are told apart by their texts."""
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, keyed=True, **options).filter("kept")
+    found = found.select(F.col("doc_id").alias("kept_id"), F.col("text_key").alias("kept_key")).distinct()
+    own_id = docs[id_col].cast("long")
+    own_key = F.when(own_id.isNull(), text_key(docs[text_col]))
+    return docs.join(found, own_id.eqNullSafe(found["kept_id"]) & own_key.eqNullSafe(found["kept_key"]), "left_semi").select(*docs.columns)
 
 
 def _grouped(posts: DataFrame, edges: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, stored
+from .common import stored, text_key
 
 # The detectors' patterns (pattern, group of the value, least characters of that group).
 BASE_DETECTORS = {
@@ -76,11 +76,12 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, owner_col: str, repo
         repo.alias("repo"),
     )
     detectors = BASE_DETECTORS | MORE_DETECTORS
-    rows = rows.select("doc_id", "owner", "repo", *[_spans(k, d).alias(f"s_{k}") for k, d in detectors.items()])
+    rows = rows.select("doc_id", "owner", "repo", text_key(F.col("text")).alias("text_key"), *[_spans(k, d).alias(f"s_{k}") for k, d in detectors.items()])
     return rows.select(
         "doc_id",
         "owner",
         "repo",
+        F.when(F.size(F.concat(*[f"s_{k}" for k in detectors])) > 0, F.col("text_key")).alias("text_key"),
         *[F.size(f"s_{k}").cast("long").alias(f"n_{k}") for k in BASE_DETECTORS],
         F.concat(*[f"s_{k}" for k in BASE_DETECTORS]).alias("base"),
         F.concat(*[f"s_{k}" for k in detectors]).alias("found"),
@@ -163,6 +164,7 @@ def secret_scan(
             "most_repos",
             "found",
             "live",
+            "text_key",
         )
     )
 
@@ -189,9 +191,14 @@ def redacted(text: Column, live: Column, mark: str = "[redacted]") -> Column:
 
 
 def without_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows with live values redacted from their texts; all rows and columns stay."""
+    """The rows with live values redacted from their texts; all rows and columns stay.
+
+    Spans follow from a row's text, so rows without an id, and rows of one id with different texts, each get their own.
+    """
     found = secret_scan(docs, id_col=id_col, text_col=text_col, **options)
-    live = found.filter("n_live > 0 and doc_id is not null").select(F.col("doc_id").alias(id_col), F.col("live").alias("live_spans"))
-    joined = docs.join(live.dropDuplicates([id_col]), id_col, "left")
+    live = found.filter("n_live > 0").select(F.col("doc_id").alias("live_id"), F.col("text_key").alias("live_key"), F.col("live").alias("live_spans"))
+    live = live.dropDuplicates(["live_id", "live_key"])
+    same = docs[id_col].cast("long").eqNullSafe(live["live_id"]) & (text_key(docs[text_col]) == live["live_key"])
+    joined = docs.join(live, same, "left")
     text = F.when(F.col("live_spans").isNull(), F.col(text_col)).otherwise(redacted(F.col(text_col), F.col("live_spans")))
     return joined.withColumn(text_col, text).select(*docs.columns)

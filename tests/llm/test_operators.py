@@ -308,3 +308,12 @@ def test_secrets(spark):
     texts = {r.doc_id: r.text for r in secret_scan.without_secrets(made(spark, rows)).collect()}
     assert texts[1] == 'é password = "[redacted]" x' and texts[10] == rows[6][1] and texts[4] is None and len(texts) == len(rows)
     assert secret_scan.secret_scan(made(spark, [])).count() == 0
+
+
+def test_secrets_of_rows_without_an_id_of_their_own(spark):
+    keys = [f"A1b2C3d4E5f6G7h8{k}" for k in range(5)]
+    rows = [(None, f"x token={keys[0]}"), (None, f"yy token={keys[1]} z"), (None, "plain"), (None, None), (7, f"token={keys[2]}"), (7, f"é secret: {keys[3]} {keys[3]}"), (7, "plain"), (8, f"token={keys[4]}"), (8, f"token={keys[4]}")]
+    got = secret_scan.without_secrets(made(spark, rows))
+    texts = [(r.doc_id, r.text) for r in got.collect()]
+    want = [(None, "x token=[redacted]"), (None, "yy token=[redacted] z"), (None, "plain"), (None, None), (7, "token=[redacted]"), (7, f"é secret: [redacted] {keys[3]}"), (7, "plain"), (8, "token=[redacted]"), (8, "token=[redacted]")]
+    assert collections.Counter(texts) == collections.Counter(want) and got.columns == made(spark, rows).columns
