@@ -57,7 +57,6 @@ class Rules:
     min_chars: int = 400
     max_word_distance: float = 0.36
     min_words_for_distance: int = 100
-    max_languages: int = 512
 
 
 def repeated_words(words: list[bytes], window: int = 5) -> int:
@@ -124,19 +123,16 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     return each_row(rows, MEASURES, _measure_maker, ["doc_id", "text", "lang"])
 
 
-def references(measures: DataFrame, max_languages: int) -> dict[str, tuple[list[int], list[int]]]:
-    """Summed histograms by language over all rows: one short row per language, the most frequent languages first."""
+def references(measures: DataFrame) -> dict[str, tuple[list[int], list[int]]]:
+    """Summed histograms by language over all rows: one short row per language, of every language."""
     n_chars, n_words = len(CHAR_CLASSES), len(_VOCABULARY) + 1
     sums = (
         measures.filter(F.col("lang").isNotNull())
         .groupBy("lang")
         .agg(
-            F.count(F.lit(1)).alias("n"),
             *[F.sum(F.col("char_hist")[i]).alias(f"c{i}") for i in range(n_chars)],
             *[F.sum(F.col("word_hist")[i]).alias(f"w{i}") for i in range(n_words)],
         )
-        .orderBy(F.desc("n"), "lang")
-        .limit(max_languages)
     )
     return {
         r["lang"]: ([r[f"c{i}"] for i in range(n_chars)], [r[f"w{i}"] for i in range(n_words)])
@@ -175,7 +171,7 @@ def quality_rules(
     and fail; repeated rows are judged each; an empty table gives an empty result; extra columns are ignored.
     """
     measures = stored(measure(docs, id_col, text_col, lang_col), "quality-measures")
-    judge = _judge_maker(references(measures, rules.max_languages), rules)
+    judge = _judge_maker(references(measures), rules)
     return measures.mapInArrow(judge, VERDICTS)
 
 
@@ -186,7 +182,7 @@ def accepted(
 
     Each row is measured where it is read and judged at once, so texts are never moved to meet their verdict.
     """
-    judge = _judge_maker(references(measure(docs, id_col, text_col, lang_col), rules.max_languages), rules)
+    judge = _judge_maker(references(measure(docs, id_col, text_col, lang_col)), rules)
     at = docs.columns.index(text_col)
     schema = to_arrow(docs.sparkSession, MEASURES)
 
@@ -220,10 +216,13 @@ def _judge_maker(refs: dict[str, tuple[list[int], list[int]]], rules: Rules):
             words = np.array(col["word_hist"].flatten(), dtype=np.float64).reshape(rows, -1)
             n_words = col["n_words"].to_numpy()
             if names:
-                by_char = np.stack([js_distance(chars, q) for q in char_refs], axis=1)
-                by_word = np.stack([js_distance(words, q) for q in word_refs], axis=1)
-                best = (by_char + by_word).argmin(axis=1)
-                char_d, word_d = by_char.min(axis=1), by_word.min(axis=1)
+                char_d, word_d, least = (np.full(rows, np.inf) for _ in range(3))
+                best = np.zeros(rows, dtype=np.int64)
+                for k, (c, w) in enumerate(zip(char_refs, word_refs)):
+                    by_char, by_word = js_distance(chars, c), js_distance(words, w)
+                    nearer = by_char + by_word < least
+                    best[nearer], least[nearer] = k, (by_char + by_word)[nearer]
+                    char_d, word_d = np.minimum(char_d, by_char), np.minimum(word_d, by_word)
                 nearest = pa.array([names[i] for i in best], type=pa.string())
             else:
                 char_d = word_d = np.zeros(rows)

@@ -209,6 +209,14 @@ def test_quality(spark, docs, rows):
     assert quality_rules.js_distance(np.array([[1.0, 0], [0, 0]]), np.array([0.0, 1])).tolist() == [1.0, 0.0]
 
 
+def test_quality_of_many_languages(spark):
+    prose = lambda k: " ".join(f"river{chr(97 + k % 26)} the{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(40))
+    digits = " ".join(str(10**7 + 7919 * i) for i in range(80))
+    rows = [(k, prose(k), f"l{k:03}", "s") for k in range(513)] + [(900, digits, "zz", "s")]
+    got = {r.doc_id: r for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert got[900].nearest_lang == "zz" and got[900].kept and got[900].char_distance == 0 == got[900].word_distance
+
+
 def test_counts(spark, docs, rows, tmp_path):
     sp = sentencepiece.SentencePieceProcessor(model_file=PIECE)
     want = collections.Counter((i, len((t or "").encode()), len(sp.encode(t or ""))) for i, t in rows)
