@@ -120,6 +120,19 @@ def marginals(unary: np.ndarray, mask: np.ndarray, transitions: np.ndarray) -> t
     return good, pairs
 
 
+def alike(counts: np.ndarray) -> list[slice]:
+    """Runs of chains, given by their ascending lengths, that take at most about four times their places when padded."""
+    out, at = [], 0
+    while at < len(counts):
+        end, total = at + 1, int(counts[at])
+        while end < len(counts) and counts[end] * (end - at + 1) <= 4 * total + 256:
+            total += int(counts[end])
+            end += 1
+        out.append(slice(at, end))
+        at = end
+    return out
+
+
 def fit(x: list[np.ndarray], labels: list[int], rounds: int = 150, rate: float = 0.08, penalty: float = 1e-3) -> Field:
     """The field of greatest penalised likelihood of chains ``x`` (lines x features) whose lines all have the label."""
     prior = float(np.mean(labels)) if labels else 0.5
@@ -129,20 +142,31 @@ def fit(x: list[np.ndarray], labels: list[int], rounds: int = 150, rate: float =
     flat = np.concatenate([f for f, _ in used])
     center, scale = flat.mean(axis=0), flat.std(axis=0)
     center[-1], scale[scale < 1e-6] = 0.0, 1.0
-    n, t = len(used), max(len(f) for f, _ in used)
-    padded, mask = np.zeros((n, t, N_FEATURES)), np.zeros((n, t), dtype=bool)
-    for i, (f, _) in enumerate(used):
-        padded[i, : len(f)] = (f - center) / scale
-        mask[i, : len(f)] = True
-    y = np.array([label for _, label in used], dtype=float)
+    n = len(used)
+    used.sort(key=lambda u: len(u[0]))
+    groups = []
     seen_pairs = np.zeros((2, 2))
-    links = mask[:, 1:].sum(axis=1)
-    seen_pairs[0, 0], seen_pairs[1, 1] = links[y == 0].sum(), links[y == 1].sum()
+    for rows in alike(np.array([len(f) for f, _ in used])):
+        part = used[rows]
+        t = len(part[-1][0])
+        padded, mask = np.zeros((len(part), t, N_FEATURES)), np.zeros((len(part), t), dtype=bool)
+        for i, (f, _) in enumerate(part):
+            padded[i, : len(f)] = (f - center) / scale
+            mask[i, : len(f)] = True
+        y = np.array([label for _, label in part], dtype=float)
+        links = mask[:, 1:].sum(axis=1)
+        seen_pairs[0, 0] += links[y == 0].sum()
+        seen_pairs[1, 1] += links[y == 1].sum()
+        groups.append((padded, mask, y))
     weights, transitions = np.zeros(N_FEATURES), np.zeros((2, 2))
     moment = [np.zeros(N_FEATURES), np.zeros(N_FEATURES), np.zeros((2, 2)), np.zeros((2, 2))]
     for step in range(1, rounds + 1):
-        good, pairs = marginals(padded @ weights, mask, transitions)
-        slope_w = np.einsum("it,itf->f", np.where(mask, y[:, None] - good, 0), padded) / n - penalty * weights
+        slope_w, pairs = np.zeros(N_FEATURES), np.zeros((2, 2))
+        for padded, mask, y in groups:
+            good, held = marginals(padded @ weights, mask, transitions)
+            slope_w += np.einsum("it,itf->f", np.where(mask, y[:, None] - good, 0), padded)
+            pairs += held
+        slope_w = slope_w / n - penalty * weights
         slope_t = (seen_pairs - pairs) / n - 20 * penalty * transitions
         for k, (slope, value) in enumerate(((slope_w, weights), (slope_t, transitions))):
             moment[2 * k] += 0.1 * (slope - moment[2 * k])
@@ -162,12 +186,8 @@ def score_group(docs: list[list[bytes]], field: Field, table: np.ndarray) -> lis
     weights = np.array([len(line) for d in docs for line in d], dtype=float)
     starts = np.cumsum(counts) - counts
     some = some[np.argsort(counts[some], kind="stable")]  # chains of similar length together
-    at = 0
-    while at < len(some):
-        end = at + 1
-        while end < len(some) and counts[some[end]] * (end - at + 1) <= 4 * counts[some[at:end]].sum() + 256:
-            end += 1
-        rows = some[at:end]
+    for part in alike(counts[some]):
+        rows = some[part]
         t = int(counts[rows].max())
         place = np.arange(t)
         mask = place < counts[rows][:, None]
@@ -175,7 +195,6 @@ def score_group(docs: list[list[bytes]], field: Field, table: np.ndarray) -> lis
         good, _ = marginals(np.where(mask, unary[index], 0), mask, field.transitions)
         w = np.where(mask, weights[index], 0)
         out[rows] = (good * w).sum(axis=1) / w.sum(axis=1)
-        at = end
     return np.clip(out, 0, 1).tolist()
 
 
@@ -183,7 +202,7 @@ def is_held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, max_documents: int, max_lines: int, id_col: str, text_col: str):
+def training_sample(docs: DataFrame, labels: DataFrame, max_documents: int, id_col: str, text_col: str):
     """Line features and labels of at most ``max_documents`` labelled documents that are not held out."""
     chosen = (
         labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["quality"].cast("int").alias("quality"))
@@ -200,7 +219,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, max_documents: int, max_
         for b in batches:
             data, y = [], []
             for t, label in zip(b.column(0), b.column(1).to_pylist()):
-                lines = lines_of((t.as_py() or "").encode("utf-8", "replace"))[:max_lines]
+                lines = lines_of((t.as_py() or "").encode("utf-8", "replace"))
                 data.append(features([lines], table).astype(np.float32).tobytes())
                 y.append(label)
             yield pa.RecordBatch.from_arrays([pa.array(data, pa.binary()), pa.array(y, pa.int32())], names=["x", "y"])
@@ -212,16 +231,16 @@ def training_sample(docs: DataFrame, labels: DataFrame, max_documents: int, max_
 
 
 def score_quality(
-    docs: DataFrame, labels: DataFrame, max_documents: int = 3000, max_lines: int = 48, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, labels: DataFrame, max_documents: int = 3000, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """One row per input row: (doc_id, held_out, score, predicted).
 
-    The field learns from at most ``max_documents`` labelled documents (the least by a hash of their ids; up to
-    ``max_lines`` lines of each) whose crc32 of the id is not 1 modulo 3; every whole text is scored.  Only the text
+    The field learns from at most ``max_documents`` labelled documents (the least by a hash of their ids), each
+    whole, whose crc32 of the id is not 1 modulo 3; every whole text is scored.  Only the text
     enters a score.  Null and empty texts get the share of good documents in the sample; repeated rows get equal
     scores; without labels all scores are 0.5; an empty table gives an empty result; other columns are ignored.
     """
-    field = fit(*training_sample(docs, labels, max_documents, max_lines, id_col, text_col))
+    field = fit(*training_sample(docs, labels, max_documents, id_col, text_col))
 
     def run(batches):
         table = _table()

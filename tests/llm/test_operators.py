@@ -291,6 +291,20 @@ def test_crf(spark):
     assert crf_quality.score_quality(made(spark, []), labels).count() == 0
 
 
+def test_crf_learns_from_whole_texts(spark):
+    line = lambda i, words: " ".join(random.Random(i).choices(words, k=9))
+    prose = lambda i, n: [line(f"{i} {k}", "the of and a small river town was seen by many people".split()) for k in range(n)]
+    junk = lambda i, n: [line(f"{i} {k}", ["BUY!!", "NOW!!", "$$$", "WIN%%%"]) for k in range(n)]
+    good = [(i, "\n".join(prose(i, 50))) for i in range(30)]
+    bad = [(100 + i, "\n".join(prose(i, 50) + junk(i, 60 + 9 * i))) for i in range(30)]
+    labels = spark.createDataFrame([(i, 1) for i, _ in good] + [(i, 0) for i, _ in bad], "doc_id long, quality int")
+    table = made(spark, good + bad + [(900, "\n".join(junk("x", 5)))])
+    x, _ = crf_quality.training_sample(table, labels, 3000, "doc_id", "text")
+    assert max(map(len, x)) > 110
+    assert {r.doc_id: r.score for r in crf_quality.score_quality(table, labels).collect()}[900] < 0.2
+    assert crf_quality.alike(np.array([1, 1, 2, 500, 600, 9000])) == [slice(0, 3), slice(3, 5), slice(5, 6)]
+
+
 def test_marginals_by_enumeration():
     draw = np.random.default_rng(2)
     u, tr = draw.normal(size=(1, 4)), draw.normal(size=(2, 2))
