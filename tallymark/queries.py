@@ -107,7 +107,9 @@ def digest_strings(spark, sf_dir):
 
 def digest_page_ranges(spark, sf_dir):
     p = _table(spark, sf_dir, "pages")
-    return p.select("page_id", hashing.to_hex(hashing.digest_range(F.encode("html", "UTF-8"), 0, 16)).alias("hex"))
+    html = F.encode("html", "UTF-8")
+    part = lambda *bounds: hashing.to_hex(hashing.digest_range(html, *bounds))
+    return p.select("page_id", part(0, 16).alias("hex"), part(16).alias("rest"))  # the two make up the whole page
 
 
 def hex_digests(spark, sf_dir):

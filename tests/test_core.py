@@ -6,6 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tallymark import queries
 from tallymark.functions import compression, hashing, paths
 from tallymark.operators import compare, digests, markers
 from tallymark.plans.manifest import Manifest, diff
@@ -206,3 +207,11 @@ def test_diff_mirrors(spark):
     change = lambda p, q: {r.k: r.change for r in diff(p, q, "k", "d").collect()}
     assert change(a, b) == {1: "removed", 2: "changed", 3: "same", 4: "added"}
     assert set(change(a, a).values()) == {"same"} and change(b, a)[1] == "added"
+
+
+def test_page_ranges_cover_whole_pages(spark):
+    sf = "/root/testdata/sf0.001"
+    pages = {r.page_id: r.html.encode() for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    rows = queries.digest_page_ranges(spark, sf).collect()
+    hexed = lambda b: xxhash.xxh3_128_digest(b).hex()
+    assert {r.page_id: (r.hex, r.rest) for r in rows} == {i: (hexed(h[:16]), hexed(h[16:])) for i, h in pages.items()}
