@@ -9,7 +9,10 @@ their places in it by their rank among those of their length.
 
 from __future__ import annotations
 
+import sys
 import zlib
+from array import array
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,15 +28,23 @@ _PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequ
 
 
 class IdBytes:
-    """Ids of texts as little-endian 32-bit integers, for one task, through a bounded memo of words."""
+    """Ids of texts as little-endian 32-bit integers, for one process.
 
-    def __init__(self, tokenizer_path: str, memo_words: int = 300_000):
-        self._tokenizer, _, maker = token_words.load(tokenizer_path)
+    Plain texts are merged by ranks where the vocabulary allows it.  Others, and those over ``long_chars`` characters,
+    go word by word through the library, with a bounded memo of words: an expression with backtracking doesn't bear
+    very long runs of white space.
+    """
+
+    def __init__(self, tokenizer_path: str, memo_words: int = 300_000, long_chars: int = 100_000):
+        self._tokenizer, spec, maker = token_words.load(tokenizer_path)
         self._splitter = maker()
+        self._by_rank = token_words.rank_encoder(self._tokenizer, spec)
         self._memo: dict[str, bytes] = {}
-        self._memo_words = memo_words
+        self._memo_words, self._long_chars = memo_words, long_chars
 
     def __call__(self, text: str) -> bytes:
+        if self._by_rank is not None and len(text) <= self._long_chars and self._splitter.plain(text):
+            return _packed_ids(self._by_rank(text))
         out = []
         for part in self._splitter.parts(text):
             if isinstance(part, int):
@@ -45,11 +56,24 @@ class IdBytes:
                     self._memo.clear()
                     fresh = list(set(part))
                 codes = self._tokenizer.encode_batch_fast(fresh, add_special_tokens=False)
-                self._memo.update((w, np.array(c.ids, dtype="<u4").tobytes()) for w, c in zip(fresh, codes))
+                self._memo.update((w, _packed_ids(c.ids)) for w, c in zip(fresh, codes))
             out.append(b"".join(map(self._memo.__getitem__, part)))
         return b"".join(out)
 
 
+def _packed_ids(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
+@lru_cache(maxsize=2)
+def _id_bytes(tokenizer_path: str) -> IdBytes:
+    """One for all tasks of a worker process."""
+    return IdBytes(tokenizer_path)
+
+
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, id_col: str, text_col: str) -> DataFrame:
     """Pieces of each document with their place among the task's pieces of equal length; ids are not kept."""
     schema = to_arrow(docs.sparkSession, _PIECES)
@@ -64,7 +88,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, id_col: str, tex
         out = []
         for b in batches:
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
-                ids_of = ids_of or IdBytes(tokenizer_path)
+                ids_of = ids_of or _id_bytes(tokenizer_path)
                 data = ids_of(text.as_py() or "") + b"\0\0\0\0"
                 n = len(data) // 4
                 start = 0
@@ -163,7 +187,8 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, id_col: str
 
     earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     shifts = by_part.withColumn("shift", F.coalesce(F.sum("n").over(earlier), F.lit(0).cast("long"))).drop("n")
-    ranked = held.join(shifts, ["part", "length"]).select(
+    # both sides grow with the number of tasks, so neither is broadcast; no (part, length) holds more than a task's pieces
+    ranked = held.join(shifts.hint("merge"), ["part", "length"]).select(
         "doc_id", "piece", "start", "length", "ids_crc32", (F.col("place") + F.col("shift")).alias("rank")
     )
     schema = to_arrow(docs.sparkSession, _PLACED)

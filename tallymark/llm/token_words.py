@@ -53,6 +53,10 @@ class Splitter:
         self._cut = re.compile("(" + "|".join(map(re.escape, sorted(specials, key=len, reverse=True))) + ")") if specials else None
         self._find, self._lower = fast.findall, lower
 
+    def plain(self, text: str) -> bool:
+        """Whether all characters are ones on which every implementation agrees, and no special string stands there."""
+        return _PLAIN.fullmatch(text) is not None and not any(s in text for s in self._specials)
+
     def words(self, text: str) -> list[str]:
         if _PLAIN.fullmatch(text):
             return self._find(text.lower() if self._lower else text)
@@ -66,6 +70,29 @@ class Splitter:
         return [self._specials[p] if p in self._specials else self.words(p) for p in self._cut.split(text) if p]
 
 
+def rank_encoder(tokenizer, spec: dict):
+    """A function from plain texts to ids that merges by ranks, or None where that could differ from the library.
+
+    A merge by ranks joins any two neighbours that make up an entry, the entry of the least id first.  That equals the
+    library's merging by listed pairs if (1) ids follow the order of the merges and (2) the library gives each entry as
+    that entry alone: neighbours that make up an entry then stand where the library's own merging of the entry's
+    letters would have them, and the pair it has at that point is the listed one.  Both are checked on the whole
+    vocabulary here.  Only texts that ``Splitter`` would split by its own expression may be passed.
+    """
+    import tiktoken
+
+    vocab, merges = spec["model"]["vocab"], [m.split(" ", 1) if isinstance(m, str) else m for m in spec["model"]["merges"]]
+    letters = letter_bytes()
+    spelled_all = all(c in letters for token in vocab for c in token)
+    in_order = len(vocab) == 256 + len(merges) and all(vocab.get(a + b) == 256 + i for i, (a, b) in enumerate(merges))
+    model = tokenizer.model
+    if not (spelled_all and in_order and all([t.id for t in model.tokenize(token)] == [i] for token, i in vocab.items())):
+        return None
+    ranks = {bytes([letters[c] for c in token]): i for token, i in vocab.items()}
+    pattern = rf"(?:{_ENDS})| ?\p{{L}}+| ?\p{{N}}+| ?[^\s\p{{L}}\p{{N}}]+|\s+(?!\S)|\s+"
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
 def load(path: str) -> tuple[object, dict, Callable[[], Splitter]]:
     """A tokenizer file: the library's tokenizer, its JSON, and a maker of its splitter."""
     import json

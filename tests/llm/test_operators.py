@@ -251,16 +251,69 @@ def test_flac(spark, docs, rows):
     assert flac.round_trip(made(spark, [])).count() == 0
 
 
+def best_two_fit(lengths, capacity):
+    """The same rule one document at a time over a plain list: fill greedily, then swap the smallest for the best two."""
+    left, bins = sorted(lengths), []
+    while left:
+        taken, gap = [left.pop()], capacity
+        gap -= taken[0]
+        while fits := [x for x in left if x <= gap]:
+            taken.append(fits[-1])
+            left.remove(fits[-1])
+            gap -= fits[-1]
+        while gap and len(taken) > 1:
+            small = min(taken)
+            sums = [left[i] + left[j] for i in range(len(left)) for j in range(i) if left[i] + left[j] <= gap + small]
+            best = max(sums, default=0)
+            if best <= small:
+                break
+            x = min(left[j] for i in range(len(left)) for j in range(i) if left[i] + left[j] == best)
+            taken.remove(small)
+            for item in (x, best - x):
+                left.remove(item)
+                taken.append(item)
+            left = sorted([*left, small])
+            gap += small - best
+        bins.append(sorted(taken))
+    return sorted(bins)
+
+
+def test_best_two_fit_by_single_documents():
+    draw = random.Random(3)
+    for n in (0, 1, 5, 30, 60):
+        lengths = draw.sample(range(1, 101), n)  # distinct lengths: every planned bin stands once
+        got = [sorted(taken) for taken, times in packing.plan(dict.fromkeys(lengths, 1), 100) for _ in range(times)]
+        assert sorted(got) == best_two_fit(lengths, 100)
+    with pytest.raises(ValueError):
+        packing.plan({101: 1}, 100)
+
+
+def test_ranked_ids_as_the_library():
+    t = tokenizers.Tokenizer.from_file(BYTE)
+    ids_of = packing.IdBytes(BYTE, memo_words=50, long_chars=4000)
+    draw = random.Random(6)
+    texts = [*ODD, "a" * 5000, "x" + " " * 5000 + "y", "\n" * 3000, "it's we'll I'D 'S\t\t x  1234 ½²³ ªº ß\xa0\x85 z", "\x1c\x1f", "<|endoftext|>"]
+    texts += ["".join(draw.choices("abcdefghinorstu éßñ' 019.,\n", k=draw.randint(1, 400))) for _ in range(400)]
+    assert ids_of._by_rank is not None
+    for text in texts:
+        want = t.encode(text, add_special_tokens=False).ids
+        assert ids_of(text) == np.array(want, dtype="<u4").tobytes()
+
+
 def test_packing(spark, docs, rows):
     t = tokenizers.Tokenizer.from_file(BYTE)
-    got = packing.pack(docs, BYTE, 256).collect()
-    lengths = collections.Counter()
-    for r in got:
-        lengths[r.doc_id] += r.length
+    capacity = 256
+    got = packing.pack(docs, BYTE, capacity).collect()
     want = collections.Counter()
+    total = 0
     for i, x in rows:
-        want[i] += len(t.encode(x or "", add_special_tokens=False).ids) + 1
-    assert lengths == want
+        ids = np.array(t.encode(x or "", add_special_tokens=False).ids + [0], dtype="<u4")
+        total += len(ids)
+        first = len(ids) % capacity or capacity
+        starts = [0, *range(first, len(ids), capacity)]
+        for k, (a, z) in enumerate(zip(starts, [*starts[1:], len(ids)])):
+            want[i, k, a, z - a, zlib.crc32(ids[a:z].tobytes())] += 1
+    assert collections.Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
     bins = collections.defaultdict(list)
     for r in got:
         bins[r.sequence_id].append(r)
@@ -269,12 +322,13 @@ def test_packing(spark, docs, rows):
         for r in sorted(b, key=lambda r: r.offset):
             assert r.offset == at
             at += r.length
-        assert at <= 256
-    assert len(bins) <= 1.03 * -(-sum(want.values()) // 256) + 1
-    ids = np.array(t.encode(rows[0][1], add_special_tokens=False).ids + [0], dtype="<u4")
-    for r in (r for r in got if r.doc_id == 0):
-        assert r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes())
+        assert at <= capacity
+    planned = packing.plan(collections.Counter(r.length for r in got), capacity)
+    assert collections.Counter(tuple(sorted(r.length for r in b)) for b in bins.values()) == sum((collections.Counter({tuple(sorted(taken)): n}) for taken, n in planned), collections.Counter())
+    assert len(bins) <= 1.03 * -(-total // capacity) + 1
     assert packing.pack(made(spark, []), BYTE).count() == 0
+    same = packing.pack(made(spark, [(1, "a b c")] * 7 + [(None, "a b c"), (2, None)]), BYTE, 4).collect()  # ties, repeats
+    assert collections.Counter(r.length for r in same) == {4: 8, 1: 1} and len({(r.sequence_id, r.offset) for r in same}) == 9
     assert packing.plan({6: 2, 5: 2, 4: 2, 1: 2}, 10) and sum(n * len(b) for b, n in packing.plan({6: 2, 5: 2, 4: 2, 1: 2}, 10)) == 8
 
 
