@@ -46,6 +46,14 @@ def id_and_text(df: DataFrame, id_col: str, text_col: str, *more: str) -> DataFr
     )
 
 
+def free_name(taken: list[str], name: str) -> str:
+    """A column name like ``name`` that is none of those taken, whatever their case."""
+    held = {c.lower() for c in taken}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
 def text_key(text: Column) -> Column:
     """What tells rows apart whose ids don't: a digest of the text; a null text counts as empty."""
     return F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256)

@@ -2,18 +2,25 @@
 
 Every window of ``passage`` words picks one of its suffixes: the one that starts with the least hash of
 ``passage // 3 + 1`` words (its minimiser).  The choice follows from the window's words alone, so equal windows pick
-equal suffixes, and about one position in seventeen is retained.  The retained suffixes are ordered by the digest of
-their first words; only neighbours in that order, those that share it, can belong to a repeat.
-
-Neighbours are then extended left and right.  A suffix knows the stretch of text that all windows which picked it
-span.  Suffixes with equal stretches repeat over their whole stretch.  Between different stretches behind one
-beginning, one representative of each is extended exactly, window by window, against all the others at once.  That is
-linear in the copies of a passage, so very frequent passages cost no pairs.
+equal suffixes, and about one position in seventeen is retained.  A suffix knows the stretch of text that all windows
+which picked it span.
+
+Suffixes with equal stretches repeat over their whole stretch; one of them stands for them in what follows.  The
+suffixes are sorted: by the hash of their first words, then by the words that follow.  Neighbours in this order are
+compared for their longest common prefix, so suffixes that share any number of words to the right are a run of
+neighbours.  Within a run matches are extended to the left, a word at a time: suffixes that share ``o`` words to the
+left and the rest of a passage to the right hold that passage in common.
+
+The sort is one over all rows, dealt by ranges that end anywhere, so a beginning with very many suffixes lies in many
+tasks.  Suffixes whose beginning may go on in another task, the first and the last of each, send their windows'
+digests instead, which meet by a join.
 """
 
 from __future__ import annotations
 
 import re
+import struct
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
@@ -21,10 +28,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_batch, id_and_text, stored, to_arrow
-from .shingles import WordHashes, grams
+from .common import as_batch, free_name, id_and_text, stored, to_arrow
+from .shingles import _P, WordHashes, grams
 
-_SUFFIXES = "doc_id long, low int, high int, start_key long, hi long, lo long"
+_SUFFIXES = "doc_id long, low int, high int, at int, start_key long, hi long, lo long"
+_CONTEXTS = "doc_id long, at int, start_key long, right binary, left binary"
+_EXTENDED = "doc_id long, start int, end int, skip int, hi long, lo long"
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -35,8 +44,8 @@ def _digests(words: np.ndarray, lows, highs) -> np.ndarray:
     return np.frombuffer(joined, dtype="<i8").reshape(-1, 2)
 
 
-def retained(words: np.ndarray, passage: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The retained suffixes of a text: (start keys, first windows, last windows); a run of windows with one choice each."""
+def retained(words: np.ndarray, passage: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The retained suffixes of a text: (start keys, first windows, last windows, places); a run of windows with one choice each."""
     span = passage - size + 1
     keys = grams(words, size)
     n = len(words) - passage + 1
@@ -47,10 +56,15 @@ def retained(words: np.ndarray, passage: int, size: int) -> tuple[np.ndarray, np
     edges = np.flatnonzero(np.diff(chosen)) + 1
     first = np.concatenate([[0], edges])
     last = np.concatenate([edges - 1, [n - 1]])
-    return keys[chosen[first]], first, last
+    return keys[chosen[first]], first, last, chosen[first]
 
 
 def suffixes(docs: DataFrame, passage: int, size: int, id_col: str, text_col: str) -> DataFrame:
+    """A row for each retained suffix: its windows' first and last start, its place, its first words' hash, its stretch's digest.
+
+    Null, empty and short texts have none; repeated rows have theirs each; an empty table gives no rows.
+    """
+
     def run(batches):
         hashes = WordHashes()
         for b in batches:
@@ -61,9 +75,9 @@ def suffixes(docs: DataFrame, passage: int, size: int, id_col: str, text_col: st
                 if len(words) < passage:
                     continue
                 w = hashes(words)
-                keys, first, last = retained(w, passage, size)
+                keys, first, last, at = retained(w, passage, size)
                 stretch = _digests(w, first.tolist(), (last + passage).tolist())
-                out.append((i, first, last, keys, stretch))
+                out.append((i, first, last, keys, stretch, at))
                 rows += len(keys)
                 if rows > 50_000:
                     yield batch(out)
@@ -80,6 +94,7 @@ def suffixes(docs: DataFrame, passage: int, size: int, id_col: str, text_col: st
                 ids,
                 pa.array(whole(1, np.int32)),
                 pa.array(whole(2, np.int32)),
+                pa.array(whole(5, np.int32)),
                 pa.array(np.concatenate([o[3] for o in out]).view(np.int64)),
                 pa.array(stretch[:, 0].copy()),
                 pa.array(stretch[:, 1].copy()),
@@ -90,28 +105,192 @@ def suffixes(docs: DataFrame, passage: int, size: int, id_col: str, text_col: st
     return id_and_text(docs, id_col, text_col).mapInArrow(run, _SUFFIXES)
 
 
-def _windows(docs: DataFrame, stretches: DataFrame, passage: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, at, hi, lo): the digest of each window of the stretches (doc_id, stretches array of (low, high))."""
+def _contexts(docs: DataFrame, asked: DataFrame, passage: int, size: int, id_col: str, text_col: str) -> DataFrame:
+    """The words around suffixes (doc_id, stretches array of (low, high, at, start_key, hi, lo)), as hashes that sort as bytes.
+
+    ``right`` has those behind the first ``size``, to the end of the stretch; ``left`` those before, from its beginning.
+    """
+    schema = to_arrow(docs.sparkSession, _CONTEXTS)
 
     def run(batches):
         hashes = WordHashes()
         for b in batches:
+            out = []
             for i, t, found in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
                 words = (t.as_py() or "").encode("utf-8", "replace").split()
-                if len(words) < passage:
-                    continue
                 w = hashes(words)
-                starts = sorted({s for f in found.as_py() for s in range(f["low"], min(f["high"], len(words) - passage) + 1)})
-                for k in range(0, len(starts), 50_000):
-                    part = starts[k : k + 50_000]
-                    d = _digests(w, part, [s + passage for s in part])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([i] * len(part), pa.int64()), pa.array(part, pa.int32()), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy())],
-                        names=["doc_id", "at", "hi", "lo"],
-                    )
+                found = [f for f in found.as_py() if f["high"] + passage <= len(words)]
+                digests = _digests(w, [f["low"] for f in found], [f["high"] + passage for f in found])
+                data = w.astype(">u8").tobytes()
+                for f, (hi, lo) in zip(found, digests.tolist()):
+                    if (hi, lo) != (f["hi"], f["lo"]):
+                        continue  # another row of this id
+                    low, at, end = 8 * f["low"], 8 * f["at"], 8 * (f["high"] + passage)
+                    out.append((i, f["at"], f["start_key"], data[at + 8 * size : end], data[low:at]))
+                if len(out) > 5000:
+                    yield as_batch(out, schema)
+                    out = []
+            if out:
+                yield as_batch(out, schema)
+
+    texts = id_and_text(docs, id_col, text_col).join(asked, "doc_id").select("doc_id", "text", "stretches")
+    return texts.mapInArrow(run, _CONTEXTS)
+
+
+@dataclass
+class Suffixes:
+    """Sorted suffixes in memory; ``words`` has ``around`` words before and as many behind the first ones, zeros where unknown."""
+
+    doc: np.ndarray
+    at: np.ndarray
+    key: np.ndarray
+    words: np.ndarray
+    n_right: np.ndarray
+    n_left: np.ndarray
+
+    @classmethod
+    def read(cls, b: pa.RecordBatch, around: int) -> "Suffixes":
+        words = np.zeros((b.num_rows, 2 * around), dtype=np.uint64)
+        n_right = _spread(b.column(3), words[:, around:], False)
+        n_left = _spread(b.column(4), words[:, :around], True)
+        doc, at, key = (b.column(i).to_numpy().astype(np.int64) for i in range(3))
+        return cls(doc, at, key, words, n_right, n_left)
+
+    def take(self, rows) -> "Suffixes":
+        return Suffixes(*[getattr(self, f.name)[rows] for f in fields(self)])
+
+    @staticmethod
+    def joined(parts: list["Suffixes"]) -> "Suffixes":
+        return Suffixes(*[np.concatenate([getattr(p, f.name) for p in parts]) for f in fields(Suffixes)])
+
+    def __len__(self) -> int:
+        return len(self.doc)
+
 
-    texts = id_and_text(docs, id_col, text_col).join(stretches, "doc_id").select("doc_id", "text", "stretches")
-    return texts.mapInArrow(run, "doc_id long, at int, hi long, lo long")
+def _spread(column: pa.Array, out: np.ndarray, at_end: bool) -> np.ndarray:
+    """Put binary values, runs of big-endian integers, into the rows of ``out``; their lengths."""
+    column = column.cast(pa.binary())
+    _, bounds, data = column.buffers()
+    bounds = np.frombuffer(bounds, dtype=np.int32)[column.offset : column.offset + len(column) + 1]
+    lengths = np.diff(bounds) // 8
+    if lengths.sum():
+        row = np.repeat(np.arange(len(column)), lengths)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        if at_end:
+            place += (out.shape[1] - lengths)[row]
+        out[row, place] = np.frombuffer(data, dtype=np.uint8)[bounds[0] : bounds[-1]].view(">u8")
+    return lengths.astype(np.int64)
+
+
+def extended(s: Suffixes, passage: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(doc, first start, last start, skip) of runs of windows that stand twice or more among whole groups of suffixes.
+
+    ``skip`` is -1 for windows that have no earlier place; see ``_skipped`` for others.
+    """
+    around = s.words.shape[1] // 2
+    right, reach = s.words[:, around:], np.minimum(s.n_right[1:], s.n_right[:-1])
+    equal = (right[1:] == right[:-1]) & (np.arange(around) < reach[:, None])
+    common = np.where(equal.all(axis=1), around, equal.argmin(axis=1))  # neighbours' common words behind the first ones
+    common = np.where(s.key[1:] == s.key[:-1], common, -1)
+    rank = np.empty(len(s), dtype=np.int64)
+    rank[np.lexsort((s.at, s.doc))] = np.arange(len(s))
+    left, power = np.zeros(len(s), dtype=np.uint64), 1
+    rows, owners, starts = [], [], []
+    for o in range(around + 1):  # windows that begin o words before the suffix
+        has = np.flatnonzero((s.n_right >= around - o) & (s.n_left >= o))
+        if len(has) > 1:
+            run = np.concatenate([[0], np.cumsum(common < around - o)])[has]
+            order = np.lexsort((rank[has], left[has], run))
+            here, run = has[order], run[order]
+            fresh = np.concatenate([[True], (run[1:] != run[:-1]) | (left[here][1:] != left[here][:-1])])
+            group = np.cumsum(fresh) - 1
+            twice = np.bincount(group)[group] > 1
+            rows.append(here[twice])
+            owners.append(here[fresh][group][twice])
+            starts.append(np.full(int(twice.sum()), -o))
+        if o < around:
+            left += s.words[:, around - 1 - o] * np.uint64(power)
+            power = power * int(_P) % 2**64
+    if not rows:
+        none = np.zeros(0, dtype=np.int64)
+        return none, none, none, none
+    row, owner = np.concatenate(rows), np.concatenate(owners)
+    start = np.concatenate(starts) + s.at[row]
+    doc, first = s.doc[row], start + s.at[owner] - s.at[row]
+    same = doc == s.doc[owner]
+    skip = np.where(same & (first == start), -1, np.where(same, np.maximum(first + passage - start, 0), 0))
+    order = np.lexsort((start, doc))
+    doc, start, skip = doc[order], start[order], skip[order]
+    breaks = (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1) | (skip[1:] != skip[:-1])
+    opens = np.concatenate([[True], breaks])[: len(doc)]
+    closes = np.concatenate([breaks, [True]])[: len(doc)]
+    return doc[opens], start[opens], start[closes], skip[opens]
+
+
+def _extensions(contexts: DataFrame, passage: int, group_rows: int) -> DataFrame:
+    """Sort, compare neighbours, extend: spans (skip null for own first places), and digests of windows that other tasks may hold."""
+    around = passage - (passage // 3 + 1)
+    schema = to_arrow(contexts.sparkSession, _EXTENDED)
+
+    def spans(s: Suffixes):
+        doc, first, last, skip = extended(s, passage)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(doc),
+                pa.array(first.astype(np.int32)),
+                pa.array((last + passage).astype(np.int32)),
+                pa.array(skip.astype(np.int32), mask=skip < 0),
+                pa.nulls(len(doc), pa.int64()),
+                pa.nulls(len(doc), pa.int64()),
+            ],
+            schema=schema,
+        )
+
+    def windows(s: Suffixes):
+        for k in range(0, len(s), 2000):
+            out = []
+            for i in range(k, min(k + 2000, len(s))):
+                data, at, doc, seed = s.words[i].tobytes(), int(s.at[i]), int(s.doc[i]), int(s.key[i]) & (2**64 - 1)
+                for o in range(around - int(s.n_right[i]), int(s.n_left[i]) + 1):
+                    digest = xxhash.xxh3_128_digest(data[8 * (around - o) : 8 * (2 * around - o)], seed)
+                    out.append((doc, at - o, at - o + passage, None, *struct.unpack("<qq", digest)))
+            yield as_batch(out, schema)
+
+    def told(s: Suffixes, open_key):
+        is_open = s.key == open_key
+        if is_open.any():
+            yield from windows(s.take(is_open))
+        if not is_open.all():
+            yield from spans(s.take(~is_open))
+
+    def run(batches):
+        held, size, open_key = [], 0, None  # the first group may have begun in another task
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append(Suffixes.read(b, around))
+            size += b.num_rows
+            open_key = held[0].key[0] if open_key is None else open_key
+            if size < group_rows:
+                continue
+            s = Suffixes.joined(held)
+            last = int(np.flatnonzero(s.key == s.key[-1])[0])
+            if last:
+                yield from told(s.take(slice(0, last)), open_key)
+                held = [s.take(slice(last, None))]
+            else:  # a group that fills the memory meant for it
+                open_key, held = s.key[-1], []
+                yield from windows(s)
+            size = sum(map(len, held))
+        if held:
+            s = Suffixes.joined(held)
+            last = s.key == s.key[-1]  # the last group may go on in another task
+            yield from windows(s.take(last))
+            if not last.all():
+                yield from told(s.take(~last), open_key)
+
+    order = ["start_key", "right", "doc_id", "at"]
+    return contexts.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, _EXTENDED)
 
 
 def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -149,7 +328,9 @@ def _skipped(doc_id: Column, at: Column, first_doc: Column, first_at: Column, pa
 _SPANS = "doc_id long, n_repeat_words long, n_cut_words long, repeats array<struct<start:int,end:int>>, cuts array<struct<start:int,end:int>>"
 
 
-def repeated_passages(docs: DataFrame, passage: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_passages(
+    docs: DataFrame, passage: int = 50, id_col: str = "doc_id", text_col: str = "text", group_rows: int = 20_000
+) -> DataFrame:
     """One row per document that holds a passage of ``passage`` or more words standing elsewhere too.
 
     Words are runs of characters other than ASCII white space, compared exactly.  ``repeats`` are the maximal stretches
@@ -169,25 +350,27 @@ def repeated_passages(docs: DataFrame, passage: int = 50, id_col: str = "doc_id"
 
     classes = stored(
         near.groupBy("start_key", "hi", "lo").agg(
-            F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "low", "high")).alias("first")
+            F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "low", "high", "at")).alias("first")
         ),
         "stretch-classes",
     )
-    mixed = classes.groupBy("start_key").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("start_key")
+    mixed = stored(classes.groupBy("start_key").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("start_key"), "mixed-beginnings")
     asked = (
         classes.join(mixed, "start_key")
-        .select("first.doc_id", F.struct("first.low", "first.high").alias("s"))
+        .select("first.doc_id", F.struct("first.low", "first.high", "first.at", "start_key", "hi", "lo").alias("s"))
         .groupBy("doc_id")
         .agg(F.collect_set("s").alias("stretches"))  # within one document
     )
-    windows = stored(_windows(docs, asked, passage, id_col, text_col), "windows")
-    places = windows.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "at")).alias("owner")).filter("n > 1")
-    extended = windows.join(places, ["hi", "lo"]).select(
-        "doc_id",
-        F.col("at").alias("start"),
-        (F.col("at") + passage).alias("end"),
-        _skipped(F.col("doc_id"), F.col("at"), F.col("owner.doc_id"), F.col("owner.at"), passage).alias("skip"),
+    contexts = stored(_contexts(docs, asked, passage, size, id_col, text_col), "contexts")
+    found = stored(_extensions(contexts, passage, group_rows), "extensions")
+    open_windows = found.filter("hi is not null")
+    places = stored(
+        open_windows.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "start")).alias("owner")).filter("n > 1"),
+        "window-places",
     )
+    skip = _skipped(F.col("doc_id"), F.col("start"), F.col("owner.doc_id"), F.col("owner.start"), passage)
+    met = open_windows.drop("skip").join(places, ["hi", "lo"]).select("doc_id", "start", "end", skip.alias("skip"))
+    extensions = found.filter("hi is null").select("doc_id", "start", "end", "skip").unionByName(met)
     whole = (
         near.join(classes.filter("n > 1"), ["start_key", "hi", "lo"])
         .select(
@@ -197,7 +380,7 @@ def repeated_passages(docs: DataFrame, passage: int = 50, id_col: str = "doc_id"
             _skipped(near["doc_id"], near["low"], F.col("first.doc_id"), F.col("first.low"), passage).alias("skip"),
         )
     )
-    spans = whole.unionByName(extended)
+    spans = whole.unionByName(extensions)
     lists = spans.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end", "skip")).alias("spans"))
     schema = to_arrow(docs.sparkSession, _SPANS)
 
@@ -207,9 +390,9 @@ def repeated_passages(docs: DataFrame, passage: int = 50, id_col: str = "doc_id"
             for i, found in zip(b.column(0).to_pylist(), b.column(1)):
                 found = [(s["start"], s["end"], s["skip"]) for s in found.as_py()]
                 repeats = union([(a, z) for a, z, _ in found])
-                extended = {(a, z) for a, z, skip in found if skip is not None}
-                kept = union([(a, z) for a, z, skip in found if skip is None and (a, z) not in extended])
-                cuts = minus(union(sorted(extended)), _owned(kept, extended, passage))
+                earlier = {(a, z) for a, z, skip in found if skip is not None}
+                kept = union([(a, z) for a, z, skip in found if skip is None])
+                cuts = minus(union(sorted(earlier)), _owned(kept, earlier, passage))
                 cuts = union(cuts + _left_whole(found, cuts, passage))
                 as_rows = lambda x: [{"start": a, "end": z} for a, z in x]
                 length = lambda x: sum(z - a for a, z in x)
@@ -237,9 +420,13 @@ def _left_whole(found, cuts, passage) -> list[tuple[int, int]]:
 
 
 def without_cuts(docs: DataFrame, cuts: DataFrame, columns: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows with the cut words removed from their texts; rows that have no word left are gone."""
-    at = columns.index(text_col)
-    joined = docs.select(*columns).join(cuts.select(F.col("doc_id").alias(id_col), "cuts"), id_col, "left").select(*columns, "cuts")
+    """The rows with the cut words removed from their texts; rows that have no word left by that are gone.
+
+    Rows without cuts stay as they are, also those with a null or empty text or without an id; rows of one id are cut
+    alike, as far as their texts reach; an empty table gives an empty result; columns of any other name stay.
+    """
+    at, name = columns.index(text_col), free_name(columns, "cuts")
+    joined = docs.select(*columns).join(cuts.select(F.col("doc_id").alias(id_col), F.col("cuts").alias(name)), id_col, "left").select(*columns, name)
 
     def run(batches):
         for b in batches:
@@ -267,6 +454,8 @@ def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
     begins = [m.start() for m in _WORD.finditer(data)] + [len(data)]
     out, at = [], 0
     for a, z in spans:
+        if a >= len(begins) - 1:
+            break  # a row of that id with a shorter text
         out.append(data[at : begins[a]])
         at = begins[min(z, len(begins) - 1)]
     out.append(data[at:])
