@@ -68,7 +68,7 @@ FROM base LEFT JOIN far_c USING (rid) LEFT JOIN far_w USING (rid) LEFT JOIN size
 """
 
 
-def secret_scan(min_owners: int = 3) -> str:
+def secret_scan(min_owners: int = 3, min_repos: int = 5) -> str:
     parts = []
     for no, (kind, (pattern, group, least)) in enumerate((BASE_DETECTORS | MORE_DETECTORS).items()):
         value = "m" if group == 0 else f"regexp_extract(m, {_sql(pattern)}, {group})"
@@ -87,13 +87,16 @@ def secret_scan(min_owners: int = 3) -> str:
     return f"""
 WITH doc AS (SELECT row_number() over () AS rid, doc_id, source, lang, coalesce(text, '') AS t FROM documents),
 span AS ({' UNION ALL '.join(parts)}),
-owner AS (SELECT value, count(DISTINCT coalesce(source, '')) AS n FROM span JOIN doc USING (rid) GROUP BY value),
+owner AS (SELECT value, count(DISTINCT coalesce(source, '')) AS n,
+  count(DISTINCT coalesce('s' || source, '') || chr(10) || coalesce('l' || lang, '')) AS n_repos FROM span JOIN doc USING (rid) GROUP BY value),
 live AS (SELECT DISTINCT rid, {len(KINDS) - 1} AS no, stop - length(value) AS start, stop FROM span JOIN owner USING (value)
-  WHERE owner.n < {min_owners} AND length(value) >= 16 AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]')),
+  WHERE owner.n < {min_owners} AND owner.n_repos < {min_repos} AND length(value) >= 16 AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]')),
 every AS (SELECT rid, no, start, stop FROM span UNION ALL SELECT rid, no, start, stop FROM live),
 base AS (SELECT rid, {counts}, {listing.format(names=names)} AS s FROM span WHERE no < {n_base} GROUP BY rid),
-whole AS (SELECT rid, {listing.format(names=names)} AS s FROM every GROUP BY rid)
+most AS (SELECT rid, max(n) AS owners, max(n_repos) AS repos FROM span JOIN owner USING (value) GROUP BY rid),
+whole AS (SELECT rid, {listing.format(names=names)} AS s, sum((no = {len(KINDS) - 1})::INT) AS n_live FROM every GROUP BY rid)
 SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access,
-  coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(base.s, '')) AS base_sha256, coalesce(whole.s, '') AS spans
-FROM doc LEFT JOIN base USING (rid) LEFT JOIN whole USING (rid)
+  coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(base.s, '')) AS base_sha256, coalesce(whole.s, '') AS spans,
+  coalesce(n_live, 0)::BIGINT AS n_live, coalesce(owners, 0)::BIGINT AS most_owners, coalesce(repos, 0)::BIGINT AS most_repos
+FROM doc LEFT JOIN base USING (rid) LEFT JOIN whole USING (rid) LEFT JOIN most USING (rid)
 """

@@ -53,7 +53,7 @@ def op9_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_scan(documents(spark, sf_dir)).select(
-        "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"
+        "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_live", "most_owners", "most_repos"
     )
 
 

@@ -3,6 +3,8 @@
 import collections
 import hashlib
 import random
+import re
+import time
 import zlib
 
 import numpy as np
@@ -126,6 +128,23 @@ def test_passage_inside_a_longer_repeat(spark):
         assert 3 not in texts and max(windows.values()) == 1
 
 
+def test_suffixes_in_small_groups(spark, docs):
+    """Beginnings that outgrow the memory meant for a group, or a task, give the same spans."""
+    draw = random.Random(9)
+    words = [f"v{k}" for k in range(400)]
+    shared = draw.choices(words, k=60)
+    texts = [(1000 + k, " ".join(draw.choices(words, k=k % 5 * 9) + shared[k % 3 * 4 : 60 - k % 4] + draw.choices(words, k=k % 7 * 8))) for k in range(60)]
+    table = docs.unionByName(made(spark, texts))
+    rows = lambda **k: sorted(map(tuple, suffix_dedup.repeated_passages(table, **k).collect()), key=lambda r: r[0])
+    want = rows()
+    assert len(want) > 60 and rows(group_rows=1) == want == rows(group_rows=7)
+    windows = collections.Counter(tuple(w[s : s + 50]) for _, t in texts for w in [t.split()] for s in range(len(w) - 49))
+    for i, t in texts:
+        w = t.split()
+        covered = {s + j for s in range(len(w) - 49) if windows[tuple(w[s : s + 50])] > 1 for j in range(50)}
+        assert sum(r[1] for r in want if r[0] == i) == len(covered)
+
+
 def test_passage_over_its_own_first_place(spark):
     """A run of short period keeps the first place of each of its windows, where no earlier document holds them."""
     period = [f"p{k}" for k in range(7)]
@@ -386,6 +405,46 @@ def test_secrets(spark):
     assert secret_scan.secret_scan(made(spark, [])).count() == 0
 
 
+def test_secrets_of_very_long_texts(spark):
+    """Matches by the ten thousand in one text: positions by brute force, and work that doesn't grow with their square."""
+    draw = random.Random(4)
+    runs = ["".join(draw.choices("0123456789abcdef", k=draw.randint(20, 40))) for _ in range(30_000)]
+    text = "é" + " ü".join(runs)
+    docs = made(spark, [(1, text), (2, "token=" + "q" * 30_000), (3, text[:5000])])
+    start = time.perf_counter()
+    got = {r.doc_id: r for r in secret_scan.secret_scan(docs).collect()}
+    want = [(m.start(), m.end()) for m in re.finditer("[0-9a-f]+", text) if m.end() - m.start() >= 24]
+    assert got[1].n_hex == len(want) and got[1].base_sha256 == hashlib.sha256(",".join(f"hex:{a}:{z}" for a, z in want).encode()).hexdigest()
+    live = [(s.start, s.end) for s in got[1].live]
+    assert live == [(a, z) for a, z in want if re.search("[0-9]", text[a:z]) and re.search("[a-f]", text[a:z])]
+    cleaned = {r.doc_id: r.text for r in secret_scan.without_secrets(docs).collect()}[1]
+    out, at = [], 0
+    for a, z in live:
+        out.append(text[at:a] + "[redacted]")
+        at = z
+    assert cleaned == "".join(out) + text[at:]
+    assert time.perf_counter() - start < 60
+
+
+def test_secrets_by_repositories(spark):
+    """A value in many repositories of two owners is a copied example; one in few isn't."""
+    row = lambda i, key, source, lang: (i, f"token={key} ", lang, source)
+    many = [row(k, "A1b2C3d4E5f6G7h8", f"s{k % 2}", f"l{k}") for k in range(5)]
+    few = [row(10 + k, "Z9y8X7w6V5u4T3s2", f"s{k % 2}", f"l{k % 4}") for k in range(20)]
+    docs = spark.createDataFrame(many + few, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in secret_scan.secret_scan(docs).collect()}
+    assert all(got[k].n_live == 0 and (got[k].most_owners, got[k].most_repos) == (2, 5) for k in range(5))
+    assert all(got[k].n_live == 1 and (got[k].most_owners, got[k].most_repos) == (2, 4) for k in range(10, 30))
+
+
+def test_redaction_of_overlapping_spans(spark):
+    rows = [("xx0123456789yy", [(2, 5), (4, 8), (8, 10)]), ("é12", [(1, 3)]), ("abc", []), ("ab", [(0, 2)])]
+    span = "array<struct<start:bigint,end:bigint>>"
+    docs = spark.createDataFrame(rows, f"text string, `live spans` {span}")
+    got = [r[0] for r in docs.select(secret_scan.redacted("text", "live spans", "#")).collect()]
+    assert got == ["xx##89yy", "é#", "abc", "#"]
+
+
 def test_secrets_of_rows_without_an_id_of_their_own(spark):
     keys = [f"A1b2C3d4E5f6G7h8{k}" for k in range(5)]
     rows = [(None, f"x token={keys[0]}"), (None, f"yy token={keys[1]} z"), (None, "plain"), (None, None), (7, f"token={keys[2]}"), (7, f"é secret: {keys[3]} {keys[3]}"), (7, "plain"), (8, f"token={keys[4]}"), (8, f"token={keys[4]}")]
