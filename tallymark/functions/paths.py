@@ -131,6 +131,14 @@ def common_roots(df: DataFrame, group_col: str, path_col: str) -> DataFrame:
     return pairs.select("group", root.alias("root"))
 
 
+def encoded_paths(df: DataFrame, group_col: str, order_col: str, path_col: str) -> DataFrame:
+    """``encode`` for each group's paths in order: (group, encoded, n)."""
+    part = F.concat(F.when(F.contains(F.col(path_col), F.lit("\0")), F.lit("")).otherwise(F.col(path_col)), F.lit("\0"))
+    rows = df.select(F.col(group_col).alias("group"), F.col(order_col).alias("_order"), part.alias("_part")).filter("_part is not null")
+    joined = F.expr("listagg(_part, '') within group (order by _order)")
+    return rows.groupBy("group").agg(F.encode(joined, "UTF-8").alias("encoded"), F.count(F.lit(1)).alias("n"))
+
+
 def ancestors(path: Column) -> Column:
     """Rows' directories from the nearest to the root: array of (depth, dir); explode it to walk upwards."""
     parts = segments(path)

@@ -11,6 +11,12 @@ def same_bytes(a: Column, b: Column) -> Column:
     return F.coalesce((F.octet_length(a) == F.octet_length(b)) & (a == b), F.lit(False))
 
 
+def repeated_contents(df: DataFrame, key: str, digest: Column) -> DataFrame:
+    """(digest, n, first_id): contents that more than one row holds, by their digests, with the least key."""
+    rows = df.select(F.col(key).alias("_key"), digest.alias("digest"))
+    return rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("_key").alias("first_id")).filter("n > 1")
+
+
 def files_equal(pairs: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
     """(a, b, equal) of pairs of paths, compared in the task in pieces of a megabyte; false, never an error, if unreadable."""
     import os

@@ -1,45 +1,43 @@
 """Digests of groups of rows.
 
 ``digest_of_digests`` hashes rows in parallel and then the row digests in order: the form that scales.
-``digest_concat`` hashes the rows' bytes one after another, which no partial result can stand for; it is for groups of a
-size that one task reads through.
+``digest_concat`` hashes the rows' bytes one after another, which no partial result can stand for.  Both read a group's
+rows, or 16 bytes for each, through one task, which keeps only the hash's state.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import hashing
 
-MAX_MEMBERS = 1_048_576  # 16 bytes each: a group's digests stay a value of 32 MB in hexadecimal
-
-
-def digest_of_digests(df: DataFrame, group: list[str], order: str, content: Column, on_error: str = "fail", seed: int = 0) -> DataFrame:
+def digest_of_digests(
+    df: DataFrame, group: list[str], order: str, content: Column, on_error: str = "fail", seed: int = 0,
+    row_digest: Callable[[Column], Column] | None = None, state: Callable[[], object] | None = None,
+) -> DataFrame:
     """(group..., n, digest, hex) with digest = H(H(row 1) || H(row 2) ...) in the order given.
 
-    Null content: ``fail`` raises, ``zero`` stands for 16 zero bytes, ``skip`` leaves the row out.
+    Null content: ``fail`` raises, ``zero`` stands for 16 zero bytes, ``skip`` leaves the row out.  ``row_digest`` and
+    ``state`` put another hash in the place of XXH3.
     """
-    each = hashing.digest(content, seed)
-    rows = df.select(*group, F.col(order).alias("_order"), each.alias("_digest"))
-    if on_error == "skip":
-        rows = rows.filter("_digest is not null")
-    elif on_error == "zero":
-        rows = rows.withColumn("_digest", F.coalesce("_digest", hashing.zero_digest()))
+    each = row_digest(content) if row_digest else hashing.digest(content, seed)
+    if on_error == "zero":
+        each = F.coalesce(each, hashing.zero_digest())
     elif on_error == "fail":
-        rows = rows.withColumn("_digest", F.coalesce("_digest", F.raise_error(F.lit("unreadable content")).cast("binary")))
-    else:
+        each = F.coalesce(each, F.raise_error(F.lit("unreadable content")).cast("binary"))
+    elif on_error != "skip":
         raise ValueError("on_error is fail, zero or skip")
-    joined = F.expr("listagg(hex(_digest), '') within group (order by _order)")
-    out = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), joined.alias("_joined"))
-    over = F.raise_error(F.lit("too many members for one digest of digests")).cast("binary")
-    value = F.when(F.col("n") <= MAX_MEMBERS, F.unhex(F.coalesce("_joined", F.lit("")))).otherwise(over)
-    out = out.select(*group, "n", hashing.digest(value, seed).alias("digest"))
-    return out.withColumn("hex", hashing.to_hex(F.col("digest")))
+    rows = df.select(*group, F.col(order).alias("_order"), each.alias("_digest"))
+    return digest_concat(rows, group, "_order", F.col("_digest"), seed, state)
 
 
-def digest_concat(df: DataFrame, group: list[str], order: str, content: Column, seed: int = 0) -> DataFrame:
+def digest_concat(
+    df: DataFrame, group: list[str], order: str, content: Column, seed: int = 0, state: Callable[[], object] | None = None
+) -> DataFrame:
     """(group..., n, digest, hex) with digest = H(row 1 || row 2 ...) in the order given; null content is skipped.
 
     Rows come sorted and in pieces to the task of their group, which keeps only the hash's state.
@@ -52,7 +50,8 @@ def digest_concat(df: DataFrame, group: list[str], order: str, content: Column,
     width = len(group)
 
     def run(batches):
-        key, state, n = None, None, 0
+        fresh = state or (lambda: xxhash.xxh3_128(seed=seed))
+        key, hashed, n = None, None, 0
         out = []
 
         def batch():
@@ -67,19 +66,19 @@ def digest_concat(df: DataFrame, group: list[str], order: str, content: Column,
             keys = [b.column(i).to_pylist() for i in range(width)]
             for r in range(b.num_rows):
                 now = tuple(k[r] for k in keys)
-                if state is None or now != key:
-                    if state is not None:
-                        out.append((*key, n, state.digest()))
-                    key, state, n = now, xxhash.xxh3_128(seed=seed), 0
+                if hashed is None or now != key:
+                    if hashed is not None:
+                        out.append((*key, n, hashed.digest()))
+                    key, hashed, n = now, fresh(), 0
                     if len(out) > 2000:
                         yield batch()
                         out.clear()
                 data = b.column(width + 1)[r].as_py()
                 if data is not None:
-                    state.update(data)
+                    hashed.update(data)
                     n += 1
-        if state is not None:
-            out.append((*key, n, state.digest()))
+        if hashed is not None:
+            out.append((*key, n, hashed.digest()))
         if out:
             yield batch()
 

@@ -52,6 +52,16 @@ def diff(old: DataFrame, new: DataFrame, key: str, content: str) -> DataFrame:
     return a.join(b, key, "full_outer").select(key, change.alias("change"))
 
 
+def status_of(changes: DataFrame) -> DataFrame:
+    """(status) of a table with a column ``change``, as ``diff`` gives it."""
+    return changes.agg(F.when(F.coalesce(F.max(F.col("change") != "same"), F.lit(False)), _STATUS[CHANGED]).otherwise(_STATUS[OK]).alias("status"))
+
+
+def asked_only(rows: DataFrame, dirty: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is in the dirty set."""
+    return rows.join(dirty.select(key).distinct(), key, "left_semi")
+
+
 def remap(old: DataFrame, new_paths: DataFrame) -> DataFrame:
     """The new path list with the old entries where paths agree."""
     return new_paths.select("path").join(old, "path", "left")
@@ -146,34 +156,53 @@ class Manifest:
 
     # -- checking
 
+    @property
+    def needs_open(self) -> bool:
+        """Whether an opening can tell more than the last one did."""
+        return self._dirty is None or bool(self._dirty) or self.changed_on_disk()
+
     def open(self) -> "Session":
-        """Status and the means to resolve and write. First match decides, from the lock to the files themselves."""
-        with self.locked() as held:
-            if not held:
-                return Session(self, "lockFailed", None)
-            pointer = self._pointer()
-            self._seen = pointer and pointer["id"]
-            if pointer is None:
-                return Session(self, "missing", None)
-            if self._files is None:  # reuse the stored list
-                self._root = pointer["root_path"] if self._root in (None, "/") else self._root
-            if pointer["version"] != self.version:
-                return Session(self, "staleVersion", pointer)
-            stored = bytes.fromhex(pointer["fingerprint"]) if pointer["fingerprint"] else None
-            if stored != self.fingerprint:
-                return Session(self, "stale", pointer)
-            if (pointer["file_count"] if self._files is None else len(self._files)) == 0:
-                return Session(self, "upToDate", pointer)
-            if self._files is not None and self._paths_digest(self._files) != pointer["paths_digest"]:
-                return Session(self, "changed", pointer)
-            if self._dirty is not None and not self._dirty:
-                return Session(self, "upToDate", pointer)
-            session = Session(self, "", pointer)
-            worst = session.verdicts(only=self._dirty).agg(F.max("severity")).first()[0]
-            session.status = _STATUS[worst or OK]
-            if session.status == "upToDate":
-                self._dirty = set()
-            return session
+        """Status and the means to resolve and write; the session holds the lock until it writes or is closed.
+
+        First match decides, from the lock to the files themselves.
+        """
+        os.makedirs(self.folder, exist_ok=True)
+        lock = open(f"{self.folder}/lock", "a")
+        if not _locked(lock, self.lock_timeout_ms):
+            lock.close()
+            return Session(self, "lockFailed", None)
+        try:
+            session = self._opened()
+        except BaseException:
+            lock.close()
+            raise
+        session._lock = lock
+        return session
+
+    def _opened(self) -> "Session":
+        pointer = self._pointer()
+        self._seen = pointer and pointer["id"]
+        if pointer is None:
+            return Session(self, "missing", None)
+        if self._files is None:  # reuse the stored list
+            self._root = pointer["root_path"] if self._root in (None, "/") else self._root
+        if pointer["version"] != self.version:
+            return Session(self, "staleVersion", pointer)
+        stored = bytes.fromhex(pointer["fingerprint"]) if pointer["fingerprint"] else None
+        if stored != self.fingerprint:
+            return Session(self, "stale", pointer)
+        if (pointer["file_count"] if self._files is None else len(self._files)) == 0:
+            return Session(self, "upToDate", pointer)
+        if self._files is not None and self._paths_digest(self._files) != pointer["paths_digest"]:
+            return Session(self, "changed", pointer)
+        if self._dirty is not None and not self._dirty:
+            return Session(self, "upToDate", pointer)
+        session = Session(self, "", pointer)
+        worst = session.verdicts(only=self._dirty).agg(F.max("severity")).first()[0]
+        session.status = _STATUS[worst or OK]
+        if session.status == "upToDate":
+            self._dirty = set()
+        return session
 
     @staticmethod
     def _paths_digest(files: Sequence[str]) -> str:
@@ -205,12 +234,13 @@ class Manifest:
             "file_count": len(files), "paths_digest": self._paths_digest(files), "values": [float(v) for v in values],
         }
         old = self._pointer()
+        head["previous"] = old and old["id"]  # rows resolved from it may still be read
         part = f"{self.folder}/.{name}"
         with open(part, "w", encoding="utf-8") as f:
             json.dump(head, f)
         os.replace(part, f"{self.folder}/current.json")
-        if old is not None:
-            shutil.rmtree(f"{self.folder}/{old['id']}", ignore_errors=True)
+        if old is not None and old.get("previous"):
+            shutil.rmtree(f"{self.folder}/{old['previous']}", ignore_errors=True)
         self._seen, self._dirty = name, set()
         return "written"
 
@@ -221,7 +251,10 @@ class Session:
     def __init__(self, manifest: Manifest, status: str, pointer: dict | None):
         self._m, self.status, self._pointer = manifest, status, pointer
         self._resolved: DataFrame | None = None
+        self._verdicts: DataFrame | None = None
         self._closed = False
+        self._lock = None
+        self._scans: list[str] = []
 
     @property
     def values(self) -> list[float]:
@@ -231,6 +264,28 @@ class Session:
     def needs_write(self) -> bool:
         return self.status not in ("upToDate", "lockFailed")
 
+    @property
+    def config_changed(self) -> bool:
+        """Whether version, fingerprint or the list of files differ from what is stored."""
+        m, p = self._m, self._pointer
+        if p is None:
+            return True
+        stored = bytes.fromhex(p["fingerprint"]) if p["fingerprint"] else None
+        listed = m._files is None or m._paths_digest(m._files) == p["paths_digest"]
+        return p["version"] != m.version or stored != m.fingerprint or not listed
+
+    def find(self, path: str):
+        """The resolved row of one file, by its path below the root or a full one; None if it isn't listed."""
+        rel = paths.relative(self._m._root, path)
+        return self.resolve().filter(F.col("path") == rel).first() if rel else None
+
+    def _once(self, rows: DataFrame) -> DataFrame:
+        """Rows written beside the snapshots, so that every use sees one and the same look at the files."""
+        path = f"{self._m.folder}/.scan-{uuid.uuid4().hex}"
+        rows.write.parquet(path)
+        self._scans.append(path)
+        return self._m.spark.read.schema(rows.schema).parquet(path)
+
     def files(self) -> list[str]:
         if self._m._files is not None:
             return self._m._files
@@ -239,12 +294,17 @@ class Session:
         return [r["path"] for r in self._m._entries(self._pointer).select("path").orderBy("path").collect()]
 
     def verdicts(self, only: set[str] | None = None) -> DataFrame:
-        """(path, old, new, severity, content_hash): stat first, then content where stat differs at equal size."""
+        """(path, old, new, severity, content_hash): stat first, then content where stat differs at equal size.
+
+        Each file is looked at once in a session: what was found is written and read again.
+        """
+        if only is None and self._verdicts is not None:
+            return self._verdicts
         m, spark = self._m, self._m.spark
         listed = spark.createDataFrame([(p,) for p in self.files()], "path string")
         old = m._entries(self._pointer) if self._pointer else spark.createDataFrame([], _ENTRIES)
         if only is not None:
-            listed = listed.join(spark.createDataFrame([(p,) for p in only], "path string"), "path", "left_semi")
+            listed = asked_only(listed, spark.createDataFrame([(p,) for p in only], "path string"), "path")
         prefix = m._root if m._root.endswith("/") else m._root + "/"
         full = listed.select(F.concat(F.lit(prefix), F.col("path")).alias("path"))
         now = stat_paths(full).withColumn("path", F.expr(f"substring(path, {len(prefix) + 1})"))
@@ -253,6 +313,7 @@ class Session:
             .join(old.select("path", F.struct("path", *_STAT, "content_hash").alias("old")), "path", "left")
             .withColumn("severity", F.lit(None).cast("int") if m.force_hash else stat_verdict())
         )
+        both = self._once(both)
         settled = both.filter("severity is not null").withColumn("content_hash", F.when(F.col("severity") == OK, F.col("old.content_hash")))
         asked = both.filter("severity is null")
         hashed = stat_paths(asked.select(F.concat(F.lit(prefix), F.col("path")).alias("path")), with_hash=True)
@@ -261,7 +322,10 @@ class Session:
             "severity",
             F.when(F.col("content_hash").eqNullSafe(F.col("old.content_hash")), STAT_DIRTY if not m.force_hash else OK).otherwise(CHANGED),
         )
-        return settled.unionByName(asked)
+        rows = self._once(settled.unionByName(asked))
+        if only is None:
+            self._verdicts = rows
+        return rows
 
     def resolve(self) -> DataFrame:
         """(path, size, mtime_ns, ctime_ns, ino, changed, missing, content_hash, content_hash_hex) of all files, ordered."""
@@ -274,14 +338,14 @@ class Session:
             extra = stat_paths(need.select(F.concat(F.lit(prefix), F.col("path")).alias("path")), with_hash=True)
             extra = extra.select(F.expr(f"substring(path, {len(prefix) + 1})").alias("path"), F.col("content_hash").alias("more"))
             value = F.coalesce("content_hash", "more", hashing.zero_digest())
-            self._resolved = (
+            resolved = (
                 rows.join(extra, "path", "left")
                 .select(
                     "path", *[F.col(f"new.{f}").alias(f) for f in _STAT], (F.col("severity") == CHANGED).alias("changed"),
                     F.col("new.size").isNull().alias("missing"), value.alias("content_hash"), hashing.to_hex(value).alias("content_hash_hex"),
                 )
-                .orderBy("path")
             )
+            self._resolved = self._once(resolved).orderBy("path")
         return self._resolved
 
     def write(self, **payload) -> str:
@@ -296,17 +360,23 @@ class Session:
             "uncompressed": self._m.payloads("uncompressed") if "uncompressed" not in payload else (),
         }
         given = {k: v if v is not None else ((0.0,) * 4 if k == "values" else ()) for k, v in payload.items()}
-        with self._m.locked() as held:
-            if not held:
-                return "lockFailed"
-            entries = self.resolve().select("path", *_STAT, "content_hash")
-            self._closed = True
-            return self._m._save(entries, self.files(), **(kept | given))
+        entries = self.resolve().select("path", *_STAT, "content_hash")
+        done = self._m._save(entries, self.files(), **(kept | given))
+        self._release()
+        return done
 
     def close(self) -> None:
-        if not self._closed and self.status != "upToDate":
+        if not self._closed and self.status not in ("upToDate", "lockFailed"):
             self._m.invalidate_all()
+        self._release()
+
+    def _release(self) -> None:
         self._closed = True
+        for path in self._scans:
+            shutil.rmtree(path, ignore_errors=True)
+        if self._lock is not None:
+            self._lock.close()
+            self._lock = None
 
     def __enter__(self):
         return self

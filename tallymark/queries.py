@@ -6,6 +6,8 @@ groups.  XXH3 and LZ4 are not in DuckDB: plans are checked with md5 there, the d
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,8 +47,7 @@ def manifest_summary(spark, sf_dir):
 
 
 def manifest_status(spark, sf_dir):
-    severity = F.when(F.col("change") == "same", 0).otherwise(2)
-    return manifest_diff(spark, sf_dir).agg(F.when(F.max(severity) == 2, "changed").otherwise("upToDate").alias("status"))
+    return manifest.status_of(manifest_diff(spark, sf_dir))
 
 
 def manifest_remap(spark, sf_dir):
@@ -57,8 +58,7 @@ def manifest_remap(spark, sf_dir):
 
 
 def manifest_dirty(spark, sf_dir):
-    dirty = _table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id").distinct()
-    return manifest_diff(spark, sf_dir).join(dirty, "doc_id", "left_semi")
+    return manifest.asked_only(manifest_diff(spark, sf_dir), _table(spark, sf_dir, "labels").filter("toxic = 1"), "doc_id")
 
 
 def stat_verdicts(spark, sf_dir):
@@ -76,14 +76,14 @@ def stat_verdicts(spark, sf_dir):
 
 
 def content_dedup(spark, sf_dir):
-    d = _table(spark, sf_dir, "documents").select("doc_id", F.md5(F.encode("text", "UTF-8")).alias("digest"))
-    return d.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id")).filter("n > 1")
+    return compare.repeated_contents(_table(spark, sf_dir, "documents"), "doc_id", F.md5(F.encode("text", "UTF-8")))
 
 
 def digest_of_digests_md5(spark, sf_dir):
-    """The plan of the digest of digests, with md5 in place of XXH3."""
-    c = _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(F.encode("text", "UTF-8")).alias("h"))
-    return c.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.md5(F.expr("listagg(h, '') within group (order by turn)")).alias("hex"))
+    """The digest of digests with md5 in place of XXH3."""
+    c = _table(spark, sf_dir, "conversations")
+    md5 = lambda data: F.unhex(F.md5(data))
+    return digests.digest_of_digests(c, ["conv_id"], "turn", F.encode("text", "UTF-8"), "zero", row_digest=md5, state=hashlib.md5).select("conv_id", "n", "hex")
 
 
 def digest_of_digests(spark, sf_dir):
@@ -98,7 +98,7 @@ def digest_concat(spark, sf_dir):
 
 def digest_concat_md5(spark, sf_dir):
     c = _table(spark, sf_dir, "conversations")
-    return c.groupBy("conv_id").agg(F.md5(F.expr("listagg(text, '') within group (order by turn)")).alias("hex"))
+    return digests.digest_concat(c, ["conv_id"], "turn", F.encode("text", "UTF-8"), state=hashlib.md5).select("conv_id", "n", "hex")
 
 
 def digest_strings(spark, sf_dir):
@@ -167,8 +167,7 @@ def paths_common_root(spark, sf_dir):
 
 def paths_encoded(spark, sf_dir):
     p = _page_paths(spark, sf_dir).withColumn("g", F.col("page_id") % 17)
-    joined = F.concat(F.expr("listagg(path, ',') within group (order by page_id)"), F.lit(","))
-    return p.groupBy("g").agg(joined.alias("encoded")).select("g", F.md5("encoded").alias("digest"), (F.size(F.split("encoded", ",")) - 1).alias("n"))
+    return paths.encoded_paths(p, "g", "page_id", "path").select(F.col("group").alias("g"), F.md5("encoded").alias("digest"), "n")
 
 
 def ancestor_dirs(spark, sf_dir):
@@ -185,29 +184,31 @@ def _markers(spark, sf_dir):
     mark = lambda where, folder, name, kind: s.filter(where).select(F.concat(folder, F.lit("/" + name)).alias("path"), F.lit(kind).alias("kind"), (F.col("k") % 5).alias("mtime_ns"))
     inventory = (
         mark("k % 5 < 3", home, ".git", "dir")
+        .unionByName(mark("k % 20 = 3", mid, ".git", "file"))
+        .unionByName(mark("k % 20 in (6, 11)", mid, ".git", "dir"))
         .unionByName(mark("k % 5 < 4", home, "package.json", "file"))
         .unionByName(mark("k % 20 < 9", mid, "package.json", "file"))
+        .unionByName(mark("k % 5 = 0", home, "tsconfig.json", "file"))
         .unionByName(mark("k % 20 between 5 and 12", mid, "tsconfig.json", "file"))
         .unionByName(mark("k % 5 = 1", home, "node_modules", "dir"))
+        .unionByName(mark("k % 20 in (1, 6)", mid, "node_modules", "dir"))
+        .unionByName(mark("k % 5 in (1, 2, 4)", home, "yarn.lock", "file"))
+        .unionByName(mark("k % 5 = 2", home, "pnpm-lock.yaml", "file"))
+        .unionByName(mark("k % 5 = 1", home, "npm-shrinkwrap.json", "file"))
+        .unionByName(mark("k % 20 < 4", mid, "package-lock.json", "file"))
         .distinct()
     )
     return starts, inventory
 
 
 def project_roots(spark, sf_dir):
-    starts, inventory = _markers(spark, sf_dir)
-    return markers.project_roots(starts, inventory).select("start", "git_root", "nearest_package_json", "root_package_json", "nearest_tsconfig", "root_node_modules")
-
-
-def payload_table(spark, sf_dir):
-    d = _table(spark, sf_dir, "documents").select(F.lit("compressed").alias("kind"), F.col("doc_id").alias("ordinal"), F.encode("text", "UTF-8").alias("data"))
-    return d.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("data")).alias("bytes"))
+    return markers.project_roots(*_markers(spark, sf_dir), home="/w")
 
 
 QUERIES = [
     manifest_diff, manifest_summary, manifest_status, manifest_remap, manifest_dirty, stat_verdicts, content_dedup, digest_of_digests_md5,
     digest_of_digests, digest_concat, digest_concat_md5, digest_strings, digest_page_ranges, hex_digests, values_equal, lz4_bounds,
-    lz4_round_trip, paths_safe, paths_relative, paths_normalized, paths_common_root, paths_encoded, ancestor_dirs, project_roots, payload_table,
+    lz4_round_trip, paths_safe, paths_relative, paths_normalized, paths_common_root, paths_encoded, ancestor_dirs, project_roots,
 ]
 
 ORACLES = {
@@ -219,8 +220,8 @@ ORACLES = {
     "stat_verdicts": """SELECT o_orderkey, CASE WHEN o_orderkey % 6 <> 0 AND o_orderkey % 10 = 0 THEN 'changed' WHEN o_orderkey % 6 = 0 THEN 'changed'
         WHEN o_orderkey % 3 = 0 THEN 'read' ELSE 'ok' END AS verdict FROM orders""",
     "content_dedup": "SELECT md5(text) AS digest, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1",
-    "digest_of_digests_md5": "SELECT conv_id, count(*) AS n, md5(string_agg(md5(text), '' ORDER BY turn)) AS hex FROM conversations GROUP BY conv_id",
-    "digest_concat_md5": "SELECT conv_id, md5(string_agg(text, '' ORDER BY turn)) AS hex FROM conversations GROUP BY conv_id",
+    "digest_of_digests_md5": "SELECT conv_id, count(*) AS n, md5(unhex(string_agg(md5(text), '' ORDER BY turn))) AS hex FROM conversations GROUP BY conv_id",
+    "digest_concat_md5": "SELECT conv_id, count(*) AS n, md5(string_agg(text, '' ORDER BY turn)) AS hex FROM conversations GROUP BY conv_id",
     "hex_digests": "SELECT doc_id, md5(text) AS hex, '' AS short, md5(text) || ',' || md5(text) AS pair, 0::INT AS n_bad FROM documents",
     "values_equal": "SELECT a.doc_id, coalesce(a.text = b.text, false) AS equal FROM documents a LEFT JOIN documents b ON a.doc_id = b.doc_id + 1",
     "lz4_bounds": "SELECT doc_id, (strlen(text) + strlen(text) // 255 + 16)::BIGINT AS bound FROM documents",
@@ -231,16 +232,21 @@ ORACLES = {
     "paths_common_root": f"""WITH {_PAGE_PATHS}, q AS (SELECT page_id % 13 AS g, string_split('/srv/' || ((page_id % 13) % 2) || path, '/')[:-2] AS s FROM p),
         r AS (SELECT g, min(s) AS a, max(s) AS b FROM q GROUP BY g)
         SELECT g AS "group", array_to_string(a[1:coalesce(list_min(list_filter(range(1, len(a) + 1), lambda i: a[i] IS DISTINCT FROM b[i])), len(a) + 1) - 1], '/') AS root FROM r""",
-    "paths_encoded": f"WITH {_PAGE_PATHS} SELECT page_id % 17 AS g, md5(string_agg(path, ',' ORDER BY page_id) || ',') AS digest, sum(len(string_split(path, ',')))::INT AS n FROM p GROUP BY 1",
+    "paths_encoded": f"WITH {_PAGE_PATHS} SELECT page_id % 17 AS g, md5(string_agg(path || chr(0), '' ORDER BY page_id)) AS digest, count(*) AS n FROM p GROUP BY 1",
     "ancestor_dirs": f"""WITH {_PAGE_PATHS}, s AS (SELECT page_id, list_filter(string_split(path, '/'), lambda x: x <> '') AS s FROM p)
         SELECT page_id, d::INT AS depth, '/' || array_to_string(s[1:len(s) - d], '/') AS dir FROM (SELECT page_id, s, unnest(range(0, len(s) + 1)) AS d FROM s)""",
-    "project_roots": """WITH s AS (SELECT DISTINCT s_suppkey AS k, '/w/g' || (s_suppkey % 5) AS h, '/w/g' || (s_suppkey % 5) || '/p' || (s_suppkey % 20) AS m FROM supplier)
-        SELECT m || '/s' || k AS start, CASE WHEN k % 5 < 3 THEN h END AS git_root,
-        CASE WHEN k % 20 < 9 THEN m || '/package.json' WHEN k % 5 < 4 THEN h || '/package.json' END AS nearest_package_json,
-        CASE WHEN k % 5 < 4 THEN h || '/package.json' WHEN k % 20 < 9 THEN m || '/package.json' END AS root_package_json,
-        CASE WHEN k % 20 BETWEEN 5 AND 12 THEN m || '/tsconfig.json' END AS nearest_tsconfig,
-        CASE WHEN k % 5 = 1 THEN h || '/node_modules' END AS root_node_modules FROM s""",
-    "payload_table": "SELECT 'compressed' AS kind, count(*) AS n, sum(strlen(text))::BIGINT AS bytes FROM documents",
+    "project_roots": """WITH s AS (SELECT DISTINCT s_suppkey AS k, '/w/g' || (s_suppkey % 5) AS h, '/w/g' || (s_suppkey % 5) || '/p' || (s_suppkey % 20) AS m,
+          s_suppkey % 20 IN (3, 6, 11) AS git_m, s_suppkey % 5 < 3 AS git_h FROM supplier),
+        q AS (SELECT *, CASE WHEN git_m THEN m WHEN git_h THEN h END AS git_root, CASE WHEN git_h THEN h WHEN k % 20 IN (6, 11) THEN m END AS top,
+          CASE WHEN k % 20 < 9 THEN m END AS pm, CASE WHEN k % 5 < 4 AND NOT git_m THEN h END AS ph,
+          CASE WHEN k % 20 BETWEEN 5 AND 12 THEN m END AS tm, CASE WHEN k % 5 = 0 AND NOT git_m THEN h END AS th,
+          CASE WHEN k % 20 IN (1, 6) THEN m END AS nm, CASE WHEN k % 5 = 1 AND NOT git_m THEN h END AS nh FROM s)
+        SELECT m || '/s' || k AS start, git_root, CASE WHEN top <> git_root THEN top END AS git_super_root,
+        coalesce(pm, ph) || '/package.json' AS nearest_package_json, coalesce(ph, pm) || '/package.json' AS root_package_json,
+        coalesce(tm, th) || '/tsconfig.json' AS nearest_tsconfig, coalesce(th, tm) || '/tsconfig.json' AS root_tsconfig,
+        coalesce(nm, nh) || '/node_modules' AS nearest_node_modules, coalesce(nh, nm) || '/node_modules' AS root_node_modules,
+        CASE WHEN ph IS NOT NULL THEN CASE k % 5 WHEN 2 THEN h || '/pnpm-lock.yaml' WHEN 1 THEN h || '/yarn.lock' END
+          WHEN pm IS NOT NULL AND k % 20 < 4 THEN m || '/package-lock.json' END AS root_lockfile FROM q""",
 }
 
 

@@ -88,10 +88,9 @@ def test_lz4_columns(spark, tmp_path):
 
 
 def test_paths():
-    assert paths.common_root(["/a/b/c.ts"]) == "/a/b" and paths.common_root(["/foo.ts"]) == "/"
-    assert paths.common_root(["/a/b/c.ts", "/a/d/e.ts"]) == "/a" and paths.common_root(["/a/x.ts", "/b/y.ts"]) == "/"
-    assert paths.common_root(["foo/a.ts", "bar/b.ts"]) == "" == paths.common_root(["a.ts"]) == paths.common_root([])
-    assert paths.common_root(["/a/b/c", "/x/y"], allowed="/a") == "/a/b"
+    assert paths.common_root(["/srv/data/x/1.bin", "/srv/data/xy/2.bin"]) == "/srv/data"  # whole segments only
+    assert paths.common_root(["/one.bin", "/srv/two.bin"]) == "/" and paths.common_root([]) == "" == paths.common_root(["lone.bin"])
+    assert paths.common_root(["x/1", "../y/2"], base="/srv/in") == "/srv" and paths.common_root(["/srv/x/1", "/opt/y"], allowed="/srv") == "/srv/x"
     assert paths.relative("/r", "/r/../x") is None and paths.relative("/r", "/r/./x") == "x" and paths.relative("/r", "/r") is None
     assert paths.normalized("/r", ["b", "/r/a", "./b", "/q", ""]) == ["a", "b"]
     for listed in ([], ["a"], ["ü", "", "😀 x"]):
@@ -99,6 +98,16 @@ def test_paths():
     assert paths.encode(["a\0b"]) == b"\0" and paths.decode(b"a\0tail") == ["a"]
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.lists(st.sampled_from("xyz"), min_size=1, max_size=4), min_size=1, max_size=5))
+def test_common_root_by_segments(listed):
+    """The root holds every file, and no folder below it on the way to the first file does."""
+    root = paths.common_root(["/" + "/".join(f) for f in listed]).strip("/")
+    depth = len(root.split("/")) if root else 0
+    assert all("/".join(f[:depth]) == root and len(f) > depth for f in listed)
+    assert len(listed[0]) == depth + 1 or any(f[: depth + 1] != listed[0][: depth + 1] or len(f) == depth + 1 for f in listed)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(alphabet="ab./", max_size=8), max_size=6))
 def test_normalizing_again_changes_nothing(listed):
@@ -145,6 +154,34 @@ def test_markers(spark, tmp_path):
     assert (table.nearest_package_json, table.root_tsconfig) == (got["nearestPackageJson"], got["rootTsconfig"])
 
 
+def test_marker_bounds(spark, tmp_path):
+    """Nearest markers stay inside the innermost repository, and lock files need a package.json beside them."""
+    outer = tmp_path / "outer"
+    inner = outer / "inner"
+    (inner / "src").mkdir(parents=True)
+    (outer / ".git").mkdir()
+    (inner / ".git").write_text("gitdir: elsewhere")
+    for f in ("outer/package.json", "outer/tsconfig.json", "outer/inner/yarn.lock"):
+        (tmp_path / f).write_text("{}")
+    (outer / "node_modules/pkg").mkdir(parents=True)
+    starts = {"inner": inner / "src", "outer": outer / "node_modules/pkg"}
+    want = {
+        "inner": {"gitRoot": str(inner), "gitSuperRoot": str(outer), **{f"{k}{f}": None for k in ("nearest", "root") for f in ("PackageJson", "Tsconfig", "NodeModules")}, "rootLockfile": None},
+        "outer": {"gitRoot": str(outer), "gitSuperRoot": None, "nearestPackageJson": str(outer / "package.json"), "nearestTsconfig": str(outer / "tsconfig.json"), "nearestNodeModules": str(outer / "node_modules"), "rootPackageJson": str(outer / "package.json"), "rootTsconfig": str(outer / "tsconfig.json"), "rootNodeModules": str(outer / "node_modules"), "rootLockfile": None},
+    }
+    got = {k: markers.walk(str(p), home="/nowhere") for k, p in starts.items()}
+    assert got == want and set(markers.walk_nearest(str(starts["inner"]), home="/nowhere").values()) == {None}
+    (outer / "npm-shrinkwrap.json").write_text("{}")
+    assert markers.walk(str(outer), home="/nowhere")["rootLockfile"] is None
+    found = spark.createDataFrame([(str(p), "dir" if p.is_dir() else "file", 0) for p in outer.rglob("*")], "path string, kind string, mtime_ns long")
+    table = {r.start: r for r in markers.project_roots(spark.createDataFrame([(str(p),) for p in starts.values()], "start string"), found).collect()}
+    snake = {"gitRoot": "git_root", "gitSuperRoot": "git_super_root", "rootLockfile": "root_lockfile", **{f"{k}{f}": f"{k}_{g}" for k in ("nearest", "root") for f, g in (("PackageJson", "package_json"), ("Tsconfig", "tsconfig"), ("NodeModules", "node_modules"))}}
+    for k, p in starts.items():
+        assert {f: table[str(p)][c] for f, c in snake.items()} == want[k]
+    bounded = markers.project_roots(spark.createDataFrame([(str(inner / "src"),)], "start string"), found, stop=str(inner)).first()
+    assert set(bounded.asDict().values()) == {None, str(inner / "src")}
+
+
 def test_manifest_flows(spark, tmp_path):
     root = tmp_path / "tree"
     root.mkdir()
@@ -152,39 +189,66 @@ def test_manifest_flows(spark, tmp_path):
     for f in listed:
         open(f, "w").write(os.path.basename(f) + "\n")
     make = lambda **k: Manifest(spark, str(tmp_path / "m"), **({"files": listed, "root": str(root), "version": 1} | k))
+
+    def status(m):
+        with m.open() as s:
+            return s.status
+
     with make().open() as s:
-        assert s.status == "missing"
+        assert s.status == "missing" and s.config_changed
         assert s.write(values=(1.0, 2.0, 3.0, 4.0), uncompressed=[b"blob"]) == "written"
         with pytest.raises(RuntimeError):
             s.write()
     m = make()
-    assert m.open().status == "upToDate" and not m.changed_on_disk() and m.payloads("uncompressed") == [b"blob"]
-    assert make(version=2).open().status == "staleVersion" and make(fingerprint=b"x" * 16).open().status == "stale"
+    assert m.needs_open and status(m) == "upToDate" and not m.needs_open and not m.changed_on_disk() and m.payloads("uncompressed") == [b"blob"]
+    assert status(make(version=2)) == "staleVersion" and status(make(fingerprint=b"x" * 16)) == "stale"
     with pytest.raises(TypeError):
         make(fingerprint=b"x")
-    assert make(files=listed[:2]).open().status == "changed" and make(files=[]).open().status == "upToDate"
-    assert make(files=None).open().files() == ["a.txt", "b.txt", "c.txt"]
+    assert status(make(files=listed[:2])) == "changed" and status(make(files=[])) == "upToDate"
+    with make(files=None).open() as s:
+        assert s.files() == ["a.txt", "b.txt", "c.txt"] and not s.config_changed
     os.utime(listed[0], ns=(1, 1))
-    assert make().open().status == "statsDirty"
+    assert status(make()) == "statsDirty"
     open(listed[1], "w").write("B.txt\n")
-    s = make().open()
-    assert s.status == "changed" and {r.path: r.changed for r in s.resolve().collect()} == {"a.txt": False, "b.txt": True, "c.txt": False}
-    assert s.write() == "written" and make().open().values == [1.0, 2.0, 3.0, 4.0]
+    with make().open() as s:
+        assert s.status == "changed" and {r.path: r.changed for r in s.resolve().collect()} == {"a.txt": False, "b.txt": True, "c.txt": False}
+        open(listed[2], "w").write("later than the look\n")  # a session looks once
+        assert not s.find("c.txt").changed and s.find(listed[1]).changed and s.find("none") is None
+        open(listed[2], "w").write("c.txt\n")
+        assert s.write() == "written"
+    with make().open() as s:
+        assert s.values == [1.0, 2.0, 3.0, 4.0]
     os.remove(listed[2])
-    s = make().open()
-    row = [r for r in s.resolve().collect() if r.path == "c.txt"][0]
-    assert s.status == "changed" and row.missing and row.content_hash_hex == "0" * 32
+    with make().open() as s:
+        row = s.find("c.txt")
+        assert s.status == "changed" and row.missing and row.content_hash_hex == "0" * 32
     m = make()
     assert m.overwrite() == "written" and make().payloads("uncompressed") == []
     open(listed[0], "w").write("edited without a hint\n")
-    assert m.open().status == "upToDate"
+    assert status(m) == "upToDate"
     m.invalidate(listed[0])
-    assert m.open().status == "changed"
+    assert status(m) == "changed"
     with m.locked():
-        assert make().is_locked() and make(lock_timeout_ms=0).open().status == "lockFailed" and not make().wait_unlocked(10)
+        assert make().is_locked() and status(make(lock_timeout_ms=0)) == "lockFailed" and not make().wait_unlocked(10)
     assert make().wait_unlocked(10)
     (tmp_path / "m/current.json").write_text("junk")
-    assert make().open().status == "missing"
+    assert status(make()) == "missing"
+    assert not [p for p in os.listdir(tmp_path / "m") if p.startswith(".scan")]
+
+
+def test_one_session_at_a_time(spark, tmp_path):
+    (tmp_path / "a").write_text("one")
+    make = lambda: Manifest(spark, str(tmp_path / "m"), files=[str(tmp_path / "a")], root=str(tmp_path), lock_timeout_ms=0)
+    first = make().open()
+    second = make().open()
+    assert make().is_locked() and (first.status, second.status) == ("missing", "lockFailed") and second.write() == "lockFailed"
+    assert first.write() == "written" and not make().is_locked()
+    old = make().open()
+    rows = old.resolve()
+    old.write()
+    with make().open() as third:
+        assert third.status == "upToDate" and rows.sparkSession is spark and make().open().status == "lockFailed"
+    assert not make().is_locked()
 
 
 def test_watch(spark, tmp_path):
@@ -198,7 +262,8 @@ def test_watch(spark, tmp_path):
     (events / "1.json").write_text('{"path": "a"}\n')
     seen = []
     watch(spark.readStream.schema("path string").json(str(events)), m, lambda status, changed: seen.append((status, changed)), str(tmp_path / "cp")).awaitTermination()
-    assert seen == [("changed", ["a"])] and m.open().status == "upToDate"
+    with m.open() as session:
+        assert seen == [("changed", ["a"])] and session.status == "upToDate"
 
 
 def test_diff_mirrors(spark):
