@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from . import token_words
 from .common import id_and_text, stored
-from .transducer import Transducer, compile_words
+from .transducer import EDGE_BYTES, Transducer, compile_words
 
 MAX_LEXICON_BYTES = 64 << 20
 
@@ -139,12 +139,20 @@ def frequent_words(docs: DataFrame, text_col: str, tokenizer_path: str, lexicon_
     return [w for w, _ in sorted(weights.items(), key=lambda x: (-x[1], x[0]))[:lexicon_words]]
 
 
-def lexicon(words: Iterable[str], tokenizer_path: str) -> bytes:
+def lexicon(words: Iterable[str], tokenizer_path: str, max_bytes: int = MAX_LEXICON_BYTES) -> bytes:
+    """The compiled words, given from the most frequent on, as far as ``max_bytes`` surely hold them.
+
+    A word takes at most an edge and a state for each of its bytes, and its ids; shared ends take less.
+    """
     merges = Merges(token_words.load(tokenizer_path)[1])
-    data = compile_words({w.encode("utf-8", "replace"): merges.ids(w) for w in words})
-    if len(data) > MAX_LEXICON_BYTES:
-        raise ValueError(f"a lexicon of {len(data)} bytes is over the limit of {MAX_LEXICON_BYTES}")
-    return data
+    entries, size = {}, 256
+    for w in words:
+        key, ids = w.encode("utf-8", "replace"), merges.ids(w)
+        size += EDGE_BYTES * len(key) + 4 * len(ids) + 4
+        if size > max_bytes:
+            break
+        entries[key] = ids
+    return compile_words(entries)
 
 
 class Encoder:

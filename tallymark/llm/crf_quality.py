@@ -41,47 +41,47 @@ def lines_of(data: bytes) -> list[bytes]:
     return [x for x in data.split(b"\n") if x.split(None, 1)]
 
 
+def own_measures(lines: list[bytes], table: np.ndarray, seen: set[bytes] | None = None) -> np.ndarray:
+    """A row of measures for each line; ``seen`` has earlier lines of the document and gains these."""
+    n, k = len(lines), len(_CLASSES)
+    own = np.zeros((n, _OWN))
+    if not n:
+        return own
+    lengths = np.fromiter(map(len, lines), dtype=np.int64, count=n)
+    data = np.frombuffer(b"".join(lines), dtype=np.uint8)
+    counts = np.bincount(np.repeat(np.arange(n) * k, lengths) + table[data], minlength=n * k).reshape(n, k)
+    own[:, :k] = counts / lengths[:, None]
+    seen = set() if seen is None else seen
+    for at, line in enumerate(lines):
+        words = line.split()
+        m = len(words)
+        own[at, k:] = (m**-0.5, sum(map(eq, words, words[1:])) / m, 1 - len(set(words)) / m, lengths[at] / m / 16, line in seen, 0)
+        seen.add(line)
+    own[:, -1] = np.log1p(lengths) / 8
+    return own
+
+
 def features(docs: list[list[bytes]], table: np.ndarray | None = None) -> np.ndarray:
     """A row for each line of each document: its own measures, its neighbours', and which neighbours it has."""
     table = _table() if table is None else table
-    every = [line for d in docs for line in d]
-    n = len(every)
-    own = np.zeros((n, _OWN))
+    n = sum(map(len, docs))
     if not n:
         return np.zeros((0, N_FEATURES))
-    lengths = np.fromiter(map(len, every), dtype=np.int64, count=n)
-    data = np.frombuffer(b"".join(every), dtype=np.uint8)
-    k = len(_CLASSES)
-    counts = np.bincount(np.repeat(np.arange(n) * k, lengths) + table[data], minlength=n * k).reshape(n, k)
-    own[:, :k] = counts / lengths[:, None]
-    at = 0
-    for d in docs:
-        seen: set[bytes] = set()
-        for line in d:
-            words = line.split()
-            m = len(words)
-            own[at, k:] = (
-                len(words) ** -0.5,
-                sum(map(eq, words, words[1:])) / m,
-                1 - len(set(words)) / m,
-                lengths[at] / m / 16,
-                line in seen,
-                np.log1p(lengths[at]) / 8,
-            )
-            seen.add(line)
-            at += 1
-    doc = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
+    own = np.concatenate([own_measures(d, table) for d in docs])
+    same = _neighbours(docs)
     before, after = np.zeros_like(own), np.zeros_like(own)
     has_before, has_after = np.zeros(n), np.zeros(n)
-    if n > 1:
-        same = doc[1:] == doc[:-1]
-        before[1:][same] = own[:-1][same]
-        after[:-1][same] = own[1:][same]
-        has_before[1:] = same
-        has_after[:-1] = same
+    before[1:][same], after[:-1][same] = own[:-1][same], own[1:][same]
+    has_before[1:], has_after[:-1] = same, same
     return np.concatenate([own, before, after, has_before[:, None], has_after[:, None], np.ones((n, 1))], axis=1)
 
 
+def _neighbours(docs: list[list[bytes]]) -> np.ndarray:
+    """Of all lines one after another, which have the next one in the same document."""
+    doc = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
+    return doc[1:] == doc[:-1]
+
+
 @dataclass
 class Field:
     """Weights of the good state's features (the bad state's are zero) and log transition scores, bad first."""
@@ -92,8 +92,27 @@ class Field:
     scale: np.ndarray
     prior: float
 
-    def unary(self, x: np.ndarray) -> np.ndarray:
-        return ((x - self.center) / self.scale) @ self.weights
+    def unary(self, docs: list[list[bytes]], table: np.ndarray, block: int = 20_000) -> np.ndarray:
+        """Scores of all lines, as ``features`` times the weights.
+
+        A line's measures enter its own score and its neighbours' by a product each, so only three numbers a line are
+        kept, whatever a document's length.
+        """
+        w = self.weights / self.scale
+        parts = np.stack([w[:_OWN], w[_OWN : 2 * _OWN], w[2 * _OWN : 3 * _OWN]], axis=1)
+        sums = np.zeros((sum(map(len, docs)), 3))
+        at = 0
+        for d in docs:
+            seen: set[bytes] = set()
+            for start in range(0, len(d), block):
+                own = own_measures(d[start : start + block], table, seen)
+                sums[at : at + len(own)] = own @ parts
+                at += len(own)
+        out = sums[:, 0] + w[-1] - self.center @ w
+        same = _neighbours(docs)
+        out[1:][same] += sums[:-1, 1][same] + w[-3]
+        out[:-1][same] += sums[1:, 2][same] + w[-2]
+        return out
 
 
 def marginals(unary: np.ndarray, mask: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -182,7 +201,7 @@ def score_group(docs: list[list[bytes]], field: Field, table: np.ndarray) -> lis
     some = np.flatnonzero(counts)
     if not len(some):
         return out.tolist()
-    unary = field.unary(features(docs, table))
+    unary = field.unary(docs, table)
     weights = np.array([len(line) for d in docs for line in d], dtype=float)
     starts = np.cumsum(counts) - counts
     some = some[np.argsort(counts[some], kind="stable")]  # chains of similar length together

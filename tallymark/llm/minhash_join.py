@@ -8,12 +8,16 @@ signature.  Two nodes are candidates if they collide in at least ``min_matches``
   those are merged; values that very many nodes hold come last and mostly fall outside the prefix.
 
 Candidates are confirmed on full sets.  To find classes it is not needed to list all pairs of a posting: its members
-are first compared with one leader, twice; only members that still belong to different classes are then paired.  So a
-posting of many copies of one text costs as many comparisons as it has members, and no link is lost.
-
-A bitmap filter decides which of the paired are worth a look at their sets: a node holds one parity bit for each of 512
-buckets of its shingles.  Where two bits differ, at least one shingle of that bucket is in one set alone, so the bits
-that differ can't outnumber the shingles not shared; more of them than a link allows rule it out for certain.
+are first compared with one leader, twice, so a posting of many copies of one text costs as many comparisons as it has
+members.  Members that still lie in different classes mostly share a passage and little else.  They are not paired by
+the posting: among them, the shingles of each are ordered from the rarest on, two that link share one of the first
+``n - percent * n + 1``, and where in the order they share it bounds what they can have in common.  That is an exact
+prefix and position filter, so no link between candidates is lost.  Shared passages, being frequent, come last, and a
+member with enough shingles of its own is through at once.
+
+A bitmap filter spares looking at sets: a node holds one parity bit for each of 512 buckets of its shingles.  Where two
+bits differ, at least one shingle of that bucket is in one set alone, so the bits that differ can't outnumber the
+shingles not shared; more of them than a link allows rule it out for certain.
 """
 
 from __future__ import annotations
@@ -168,6 +172,7 @@ def near_duplicates(
     Words are runs of characters other than ASCII white space, with A-Z lowered.  Rows link if
     ``100 * intersection >= percent * union`` of their sets of distinct shingles.  ``min_matches`` defaults to five
     standard deviations below the matches expected at the limit, so that a link is missed about once in a million.
+    Pairs are retained above that number of matches, then confirmed exactly.
 
     Rows without words link with nothing.  Rows with one doc_id count as one document, and each is kept or not like
     it; rows without a doc_id get the component of equal texts, if any has an id, and are kept only if none has.
@@ -186,7 +191,8 @@ def near_duplicates(
     code = (F.shiftleft(F.col("coordinate").cast("long"), 32)).bitwiseOR(F.col("value").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
     nodes = nodes.withColumnRenamed("doc_id", "node")
     posts = nodes.select("node", posting).select("node", code.alias("code"))
-    shared = posts.groupBy("code").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # what is counted is written before it meets what it was counted from: such a join can be split at a hot value
+    shared = stored(posts.groupBy("code").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "shared-codes")
     able = (
         posts.join(shared, "code")
         .groupBy("node")
@@ -198,7 +204,7 @@ def near_duplicates(
     able = stored(able, "able-nodes")
     prefix = F.slice("posted", F.lit(1), F.size("posted") - (min_matches - 1))
     posts = able.select("node", "n_shingles", F.explode(prefix).alias("code"))
-    merged = posts.groupBy("code").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("code")
+    merged = stored(posts.groupBy("code").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("code"), "merged-codes")
     posts = stored(posts.join(merged, "code"), "prefix-postings")
     # min over max of two linked sets' sizes is at least the limit
     fits = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
@@ -208,6 +214,7 @@ def near_duplicates(
     links = _Links(able.select("node", "posted", "parity", F.col("n_shingles").alias("n")), sets, percent, min_matches)
 
     leader = posts.groupBy("code").agg(F.min(F.struct(F.col("node").alias("a"), F.col("n_shingles").alias("n_a"))).alias("l")).select("code", "l.*")
+    leader = stored(leader, "leaders")
     pairs = posts.withColumnsRenamed({"node": "b", "n_shingles": "n_b"}).join(leader, "code").filter("a <> b").filter(fits).select("a", "b").distinct()
     edges = stored(links.confirmed(pairs), "edges")
     grouped = _grouped(posts, edges)
@@ -215,17 +222,16 @@ def near_duplicates(
     # the least node outside the first leader's class leads the rest
     led = grouped.join(leader, "code").join(grouped.select(F.col("node").alias("a"), F.col("component").alias("c_a")).distinct(), "a")
     second = led.filter("component <> c_a").groupBy("code").agg(F.min(F.struct(F.col("node").alias("a"), F.col("n_shingles").alias("n_a"), F.col("component").alias("c_a"))).alias("l")).select("code", "l.*")
+    second = stored(second, "leaders")
     pairs = grouped.withColumnsRenamed({"node": "b", "n_shingles": "n_b"}).join(second, "code").filter("component <> c_a").filter(fits)
     more = stored(links.confirmed(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()), "edges")
     edges = edges.unionByName(more)
     grouped = _grouped(posts, edges)
 
-    # all that are left apart in a posting; those that the bitmap filter rules out never leave the join
     apart = grouped.groupBy("code").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("code")
-    rest = stored(grouped.join(apart, "code").join(able.select("node", "parity"), "node"), "apart")
-    left = rest.withColumnsRenamed({"node": "a", "n_shingles": "n_a", "component": "c_a", "parity": "parity_a"})
-    right = rest.withColumnsRenamed({"node": "b", "n_shingles": "n_b", "component": "c_b", "parity": "parity_b"})
-    pairs = left.join(right, "code").filter("a < b and c_a <> c_b").filter(fits).filter(_may_link(percent)).select("a", "b").distinct()
+    rest = stored(grouped.join(stored(apart, "apart-codes"), "code").select("node", "component").distinct(), "apart")
+    apart_sets = stored(sets.join(rest.join(able.select("node", "parity"), "node"), "node"), "apart-sets")
+    pairs = _sharing_rare(apart_sets, percent).distinct()
     edges = edges.unionByName(stored(links.confirmed(pairs), "edges"))
 
     found = components(edges)
@@ -245,6 +251,26 @@ def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     return docs.join(found, own_id.eqNullSafe(found["kept_id"]) & own_key.eqNullSafe(found["kept_key"]), "left_semi").select(*docs.columns)
 
 
+def _sharing_rare(sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of nodes of different classes that may link, from (node, shingles, component, parity); a pair may stand repeatedly."""
+    each = sets.select("node", F.explode("shingles").alias("shingle"))
+    shared = stored(each.groupBy("shingle").agg(F.count(F.lit(1)).alias("held_by")).filter("held_by > 1"), "shared-shingles")
+    ordered = each.join(shared, "shingle").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("held_by", "shingle"))).alias("held"))  # of one set
+    size, held = F.size("shingles"), F.size("held")
+    prefix = size - F.ceil(size * percent / F.lit(100)).cast("int") + 1
+    firsts = ordered.join(sets, "node").select(
+        "node", "component", "parity", size.alias("n"), (size - held).alias("own"), F.slice("held", F.lit(1), F.greatest(prefix - (size - held), F.lit(0))).alias("held")
+    )
+    posts = firsts.select("node", "component", "parity", "n", "own", F.posexplode("held").alias("at", "h"))
+    posts = stored(posts.select("node", "component", "parity", "n", (F.col("own") + F.col("at") + 1).alias("place"), "h.shingle"), "rare-postings")
+    side = lambda x: posts.select("shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "component", "parity", "n", "place")])
+    fits = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    most = 1 + F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
+    near = fits & ((100 + percent) * most >= percent * (F.col("n_a") + F.col("n_b"))) & _may_link(percent)
+    met = side("a").join(side("b"), "shingle").filter("node_a < node_b and component_a <> component_b").filter(near)
+    return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+
+
 def _grouped(posts: DataFrame, edges: DataFrame) -> DataFrame:
     """The postings with each node's class so far."""
     found = components(edges)

@@ -12,8 +12,8 @@ neighbours.  Within a run matches are extended to the left, a word at a time: su
 left and the rest of a passage to the right hold that passage in common.
 
 The sort is one over all rows, dealt by ranges that end anywhere, so a beginning with very many suffixes lies in many
-tasks.  Suffixes whose beginning may go on in another task, the first and the last of each, send their windows'
-digests instead, which meet by a join.
+tasks.  Only a run that holds the first or the last suffix of a task can go on in another one; windows in such runs send
+their digests instead, which meet by a join.
 """
 
 from __future__ import annotations
@@ -182,10 +182,12 @@ def _spread(column: pa.Array, out: np.ndarray, at_end: bool) -> np.ndarray:
     return lengths.astype(np.int64)
 
 
-def extended(s: Suffixes, passage: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(doc, first start, last start, skip) of runs of windows that stand twice or more among whole groups of suffixes.
+def extended(s: Suffixes, passage: int, open_first: bool, open_last: bool) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, np.ndarray]]:
+    """What the windows of a stretch of the sorted suffixes show.
 
-    ``skip`` is -1 for windows that have no earlier place; see ``_skipped`` for others.
+    First (doc, first start, last start, skip) of runs of windows that stand twice or more; ``skip`` is -1 for windows
+    that have no earlier place, see ``_skipped`` for others.  Then (row, words before the suffix) of the windows that
+    suffixes before the first one, if ``open_first``, or behind the last one, if ``open_last``, may hold too.
     """
     around = s.words.shape[1] // 2
     right, reach = s.words[:, around:], np.minimum(s.n_right[1:], s.n_right[:-1])
@@ -195,13 +197,17 @@ def extended(s: Suffixes, passage: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     rank = np.empty(len(s), dtype=np.int64)
     rank[np.lexsort((s.at, s.doc))] = np.arange(len(s))
     left, power = np.zeros(len(s), dtype=np.uint64), 1
-    rows, owners, starts = [], [], []
+    rows, owners, starts, open_rows, open_before = ([np.zeros(0, dtype=np.int64)] for _ in range(5))
     for o in range(around + 1):  # windows that begin o words before the suffix
-        has = np.flatnonzero((s.n_right >= around - o) & (s.n_left >= o))
+        run = np.concatenate([[0], np.cumsum(common < around - o)])
+        is_open = (open_first & (run == 0)) | (open_last & (run == run[-1]))
+        has = (s.n_right >= around - o) & (s.n_left >= o)
+        open_rows.append(np.flatnonzero(has & is_open))
+        open_before.append(np.full(len(open_rows[-1]), o))
+        has = np.flatnonzero(has & ~is_open)
         if len(has) > 1:
-            run = np.concatenate([[0], np.cumsum(common < around - o)])[has]
-            order = np.lexsort((rank[has], left[has], run))
-            here, run = has[order], run[order]
+            order = np.lexsort((rank[has], left[has], run[has]))
+            here, run = has[order], run[has][order]
             fresh = np.concatenate([[True], (run[1:] != run[:-1]) | (left[here][1:] != left[here][:-1])])
             group = np.cumsum(fresh) - 1
             twice = np.bincount(group)[group] > 1
@@ -211,9 +217,6 @@ def extended(s: Suffixes, passage: int) -> tuple[np.ndarray, np.ndarray, np.ndar
         if o < around:
             left += s.words[:, around - 1 - o] * np.uint64(power)
             power = power * int(_P) % 2**64
-    if not rows:
-        none = np.zeros(0, dtype=np.int64)
-        return none, none, none, none
     row, owner = np.concatenate(rows), np.concatenate(owners)
     start = np.concatenate(starts) + s.at[row]
     doc, first = s.doc[row], start + s.at[owner] - s.at[row]
@@ -224,7 +227,7 @@ def extended(s: Suffixes, passage: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     breaks = (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1) | (skip[1:] != skip[:-1])
     opens = np.concatenate([[True], breaks])[: len(doc)]
     closes = np.concatenate([breaks, [True]])[: len(doc)]
-    return doc[opens], start[opens], start[closes], skip[opens]
+    return (doc[opens], start[opens], start[closes], skip[opens]), (np.concatenate(open_rows), np.concatenate(open_before))
 
 
 def _extensions(contexts: DataFrame, passage: int, group_rows: int) -> DataFrame:
@@ -232,8 +235,8 @@ def _extensions(contexts: DataFrame, passage: int, group_rows: int) -> DataFrame
     around = passage - (passage // 3 + 1)
     schema = to_arrow(contexts.sparkSession, _EXTENDED)
 
-    def spans(s: Suffixes):
-        doc, first, last, skip = extended(s, passage)
+    def told(s: Suffixes, open_first: bool, open_last: bool):
+        (doc, first, last, skip), (rows, before) = extended(s, passage, open_first, open_last)
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(doc),
@@ -245,52 +248,35 @@ def _extensions(contexts: DataFrame, passage: int, group_rows: int) -> DataFrame
             ],
             schema=schema,
         )
-
-    def windows(s: Suffixes):
-        for k in range(0, len(s), 2000):
+        for k in range(0, len(rows), 20_000):
             out = []
-            for i in range(k, min(k + 2000, len(s))):
-                data, at, doc, seed = s.words[i].tobytes(), int(s.at[i]), int(s.doc[i]), int(s.key[i]) & (2**64 - 1)
-                for o in range(around - int(s.n_right[i]), int(s.n_left[i]) + 1):
-                    digest = xxhash.xxh3_128_digest(data[8 * (around - o) : 8 * (2 * around - o)], seed)
-                    out.append((doc, at - o, at - o + passage, None, *struct.unpack("<qq", digest)))
+            for i, o in zip(rows[k : k + 20_000].tolist(), before[k : k + 20_000].tolist()):
+                window = s.words[i, around - o : 2 * around - o].tobytes()
+                digest = xxhash.xxh3_128_digest(window, int(s.key[i]) & (2**64 - 1))
+                start = int(s.at[i]) - o
+                out.append((int(s.doc[i]), start, start + passage, None, *struct.unpack("<qq", digest)))
             yield as_batch(out, schema)
 
-    def told(s: Suffixes, open_key):
-        is_open = s.key == open_key
-        if is_open.any():
-            yield from windows(s.take(is_open))
-        if not is_open.all():
-            yield from spans(s.take(~is_open))
-
     def run(batches):
-        held, size, open_key = [], 0, None  # the first group may have begun in another task
+        held, size, open_first = [], 0, True  # suffixes alike may stand in the tasks before and behind
         for b in batches:
             if not b.num_rows:
                 continue
             held.append(Suffixes.read(b, around))
             size += b.num_rows
-            open_key = held[0].key[0] if open_key is None else open_key
-            if size < group_rows:
-                continue
-            s = Suffixes.joined(held)
-            last = int(np.flatnonzero(s.key == s.key[-1])[0])
-            if last:
-                yield from told(s.take(slice(0, last)), open_key)
-                held = [s.take(slice(last, None))]
-            else:  # a group that fills the memory meant for it
-                open_key, held = s.key[-1], []
-                yield from windows(s)
-            size = sum(map(len, held))
+            if size > group_rows:
+                s = Suffixes.joined(held)
+                end = int(np.flatnonzero(s.key == s.key[-1])[0])  # where the last beginning's suffixes begin
+                cut = end or len(s) - 1  # one beginning's suffixes fill the memory meant for them: cut among them
+                yield from told(s.take(slice(0, cut)), open_first, not end)
+                open_first, held = not end, [s.take(slice(cut, None))]
+                size = len(held[0])
         if held:
-            s = Suffixes.joined(held)
-            last = s.key == s.key[-1]  # the last group may go on in another task
-            yield from windows(s.take(last))
-            if not last.all():
-                yield from told(s.take(~last), open_key)
+            yield from told(Suffixes.joined(held), open_first, True)
 
     order = ["start_key", "right", "doc_id", "at"]
-    return contexts.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, _EXTENDED)
+    tasks = max(1, -(-contexts.count() // group_rows))  # the fewer the ends of tasks, the fewer the runs that go on
+    return contexts.repartitionByRange(tasks, *order).sortWithinPartitions(*order).mapInArrow(run, _EXTENDED)
 
 
 def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -338,9 +324,12 @@ def repeated_passages(
     document or several; ``cuts`` are the parts to remove so that of each window only the first place stays, the one in
     the document with the least id.  Words of windows a document is first to hold stay where that leaves no window
     twice.  Where it would (a passage of fewer than ``2 * passage - 1`` words inside a longer stretch that the document
-    is first to hold is all covered by such windows), the windows with an earlier place are cut whole.  Documents without repeats, and null, empty and short texts, have no row.  Rows
-    with one doc_id are one document: the place with the least id is then in all of them and none is cut for another.
-    Rows without a doc_id are left out.  An empty table gives an empty result; other columns are ignored.
+    is first to hold is all covered by such windows), the windows with an earlier place are cut whole.
+
+    Documents without repeats, and null, empty and short texts, have no row.  Rows with one doc_id are one document: the
+    place with the least id is then in all of them and none is cut for another.  Rows without a doc_id are left out.  An
+    empty table gives an empty result; other columns are ignored.  About ``group_rows`` sorted suffixes are in a task's
+    memory at a time, whatever number one beginning has.
     """
     size = passage // 3 + 1
     every = stored(suffixes(docs.filter(docs[id_col].isNotNull()), passage, size, id_col, text_col), "suffixes")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import id_and_text, scratch_root, stored
 
+_SEEN = 200_000  # contents a task remembers; one met again later is encoded again, to the same count
 _CACHE = "tokenizer_digest string, content_digest binary, n_tokens long"
 
 
@@ -79,6 +80,8 @@ def _packed(batches):
         for t in b.column(0):
             data = (t.as_py() or "").encode("utf-8", "replace")
             d = hashlib.sha256(data).digest()
+            if len(seen) >= _SEEN:
+                seen.clear()
             if d not in seen:
                 seen.add(d)
                 digests.append(d)
@@ -96,6 +99,8 @@ def _counting(path: str, version: str):
             for d, size, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 if d in seen:
                     continue
+                if len(seen) >= _SEEN:
+                    seen.clear()
                 seen.add(d)
                 counter = counter or PieceCounter(path)
                 text = codec.decompress(data.as_buffer(), size, asbytes=True).decode("utf-8") if size else ""

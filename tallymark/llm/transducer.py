@@ -15,6 +15,7 @@ from collections.abc import Sequence
 import numpy as np
 
 _MAGIC = b"TLYMFST1"
+EDGE_BYTES = 13  # an edge's key, target and output, and the state behind it
 
 
 def compile_words(entries: dict[bytes, Sequence[int]]) -> bytes:
@@ -91,7 +92,11 @@ class Transducer:
 
     @classmethod
     def mapped(cls, data: bytes) -> "Transducer":
-        """Map the lexicon from a file that has no name any more, so that no file outlives the process."""
+        """Map the lexicon from a file that has no name any more, so that no file outlives the process.
+
+        The file is local to the machine on purpose: it is the memory of this process, backed by pages that can be
+        dropped and read again, and no other process ever looks for it.
+        """
         fd, path = tempfile.mkstemp(prefix="lexicon-")
         try:
             with os.fdopen(fd, "wb") as f:

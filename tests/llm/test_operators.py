@@ -186,6 +186,51 @@ def test_chained_links(spark):
     assert 100 * len(sets[0] & sets[11]) < 85 * len(sets[0] | sets[11]) and set(got.values()) == {0}
 
 
+def test_recall_at_the_limit(spark):
+    """Pairs right at the limit: at least 85 of 100 shingles in common, at most 87."""
+    draw = random.Random(12)
+    rows, linked = [], []
+    for k in range(500):
+        words = [f"p{k}w{draw.randrange(10**6)}" for _ in range(draw.randint(120, 400))]
+        other = list(words)
+        shingles = lambda w: set(zip(w, w[1:], w[2:]))
+        share = lambda a, b: 100 * len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b))
+        while True:
+            before = list(other)
+            other[draw.randrange(len(other))] = f"e{draw.randrange(10**9)}"
+            if share(words, other) < 85:
+                break
+        rows += [(10 * k, " ".join(words)), (10 * k + 1, " ".join(before)), (10 * k + 2, " ".join(other))]
+        if share(words, before) <= 87:
+            linked.append(k)
+        assert share(words, before) >= 85
+    got = {r.doc_id: r.component_id for r in minhash_join.near_duplicates(made(spark, rows), shingle=3, percent=85).collect()}
+    assert len(linked) > 400
+    assert sum(got[10 * k + 1] == 10 * k for k in linked) >= 0.99 * len(linked)
+
+
+def test_members_of_hot_postings(spark):
+    """Texts of one long shared passage and parts of their own: few link, by brute force, and no pairs of all are made."""
+    draw = random.Random(2)
+    shared = [f"c{k}" for k in range(120)]
+    texts = []
+    for k in range(150):
+        own = [f"o{draw.randrange(10**6)}" for _ in range(draw.randint(10, 40))]
+        texts.append(shared[: draw.randint(90, 120)] + own)
+        if k % 10 == 0:
+            texts.append(texts[-1][:-3] + ["x", "y"])
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    sets = [set(zip(t, t[1:], t[2:])) for t in texts]
+    root = list(range(len(sets)))
+    for _ in range(20):
+        for a in range(len(sets)):
+            for b in range(a):
+                if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                    root[a] = root[b] = min(root[a], root[b])
+    got = {r.doc_id: r.component_id for r in minhash_join.near_duplicates(made(spark, rows), shingle=3, percent=85).collect()}
+    assert got == dict(enumerate(root)) and 20 < len(set(root)) < len(root)
+
+
 def test_parity_never_rules_out_a_link():
     draw = np.random.default_rng(4)
     for size in (1, 30, 150, 4000):
@@ -208,13 +253,42 @@ def test_components(spark):
 def test_license(spark):
     rows = [(1, "x\nAll rights reserved. All Rights Reserved\nCC BY cc by"), (2, "Licensed under the Apache License, Version 2.0."), (3, "rights all reserved"), (4, None), (5, ""), (5, "license"), (None, "Released\nunder the MIT License.")]
     got = license_scan.license_scan(made(spark, rows)).orderBy("doc_id", "n_words").collect()
-    assert tuple(got[0])[1:] == (5, 0, None, None, "", "mit", 0.8)  # four of the five words stand on one line
+    assert tuple(got[0])[1:] == (5, 0, None, None, "", "mit", 1.0)
     assert tuple(got[1])[:6] == (1, 11, 4, 1, 9, "cc-by,reserved") and got[1].score == 1.0 and "proprietary" in got[1].labels
     assert got[2].labels == "apache-2.0" and got[2].score == 1.0 and got[2].n_base == 0
     assert got[3].labels == "proprietary" and got[3].base_labels == "" and got[4].n_words == 0 == got[5].n_words
     assert license_scan.license_scan(made(spark, [])).count() == 0
 
 
+def test_license_over_lines(spark):
+    """Notices wrapped at any place, at any distance from the text's begin, and blocks against templates by brute force."""
+    draw = random.Random(7)
+    other = [f"w{k}" for k in range(50)]
+    rows = []
+    for k, (label, text) in enumerate(sorted(license_scan.TEMPLATES.items())):
+        words = text.split()
+        for shift in (0, 20, 31, 32, 33, 63, 200):
+            wrapped = "".join(w + ("\n" if draw.random() < 0.4 else "\n * " if draw.random() < 0.2 else " ") for w in words)
+            rows.append((1000 * k + shift, " ".join(draw.choices(other, k=shift)) + "\n" + wrapped.upper() + " ".join(draw.choices(other, k=40))))
+        rows.append((1000 * k + 999, " ".join(draw.sample(words, len(words) * 3 // 4) + draw.choices(other, k=90))))
+    got = {r.doc_id: r for r in license_scan.license_scan(made(spark, rows)).collect()}
+    for k, label in enumerate(sorted(license_scan.TEMPLATES)):
+        assert all(label in got[1000 * k + s].labels.split(",") and got[1000 * k + s].score == 1.0 for s in (0, 20, 31, 32, 33, 63, 200))
+    for i, text in rows:
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())
+        blocks = [set(words[b * 32 : b * 32 + 64]) for b in range(max(1, -(-len(words) // 32) - 1))]
+        held = {n: max(len(b & set(t.split())) / len(set(t.split())) for b in blocks) for n, t in license_scan.TEMPLATES.items()}
+        want = {n for n, share in held.items() if share >= 0.8 - 1e-9}
+        base = {x for x in got[i].base_labels.split(",") if x}
+        assert set(got[i].labels.split(",")) - {""} == want | base and got[i].score == max([held[n] for n in want], default=0)
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted"
+    isc = "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee"
+    odd = [(1, bsd), (2, isc), (2, isc), (None, isc), (3, "x " * 60_000 + bsd), (4, None), (5, "released")]
+    labels = collections.Counter((r.doc_id, r.labels) for r in license_scan.license_scan(made(spark, odd)).collect())
+    assert labels == {(1, "bsd"): 1, (2, "isc"): 2, (None, "isc"): 1, (3, "bsd"): 1, (4, ""): 1, (5, ""): 1}
+    assert license_scan.license_scan(made(spark, odd), templates={}).filter("labels <> ''").count() == 0
+
+
 def test_quality(spark, docs, rows):
     got = quality_rules.quality_rules(docs).collect()
     assert len(got) == len(rows)
@@ -364,6 +438,56 @@ def test_crf(spark):
     assert crf_quality.score_quality(made(spark, []), labels).count() == 0
 
 
+def test_crf_scores_by_brute_force():
+    """Line scores as features times weights, in blocks of any size; documents as the length-weighted mean of marginals."""
+    draw = np.random.default_rng(5)
+    field = crf_quality.Field(draw.normal(size=crf_quality.N_FEATURES), draw.normal(size=(2, 2)), draw.normal(size=crf_quality.N_FEATURES), draw.uniform(0.5, 2, crf_quality.N_FEATURES), 0.3)
+    docs = [[b"the town", b"BUY $$$ BUY", b"the town"], [], [b"x 1 2"], [b"a, b!", "é ß".encode(), b"a, b!", b"|"]]
+    table = crf_quality._table()
+    want = ((crf_quality.features(docs, table) - field.center) / field.scale) @ field.weights
+    for block in (1, 2, 100):
+        assert np.allclose(field.unary(docs, table, block), want)
+    at, means = 0, []
+    for d in docs:
+        u, at = want[at : at + len(d)], at + len(d)
+        paths = [[(n >> k) & 1 for k in range(len(d))] for n in range(2 ** len(d))]
+        weight = [np.exp(sum(u[k] * s for k, s in enumerate(p)) + sum(field.transitions[a, b] for a, b in zip(p, p[1:]))) for p in paths]
+        good = [sum(w for w, p in zip(weight, paths) if p[k]) / sum(weight) for k in range(len(d))]
+        means.append(np.average(good, weights=[len(x) for x in d]) if d else 0.3)
+    assert np.allclose(crf_quality.score_group(docs, field, table), means)
+    own = crf_quality.own_measures([b"ab AB 1 ab", b"x", b"x"], table)
+    assert np.allclose(own[0], [0.4, 0.2, 0.1, 0.3, 0, 0, 0, 0, 0, 0, 0.5, 0, 0.25, 10 / 4 / 16, 0, np.log(11) / 8]) and own[:, 14].tolist() == [0, 0, 1]
+
+
+def test_crf_held_out(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    scored = crf_quality.score_quality(docs, labels).filter("held_out").join(labels.select("doc_id", "quality"), "doc_id").collect()
+    good, bad = [r.score for r in scored if r.quality == 1], [r.score for r in scored if r.quality == 0]
+    area = np.mean([[(g > b) + (g == b) / 2 for b in bad] for g in good])
+    print("held-out AUC", area, len(scored))
+    assert len(scored) > 80 and area >= 0.97
+
+
+def test_crf_of_a_very_long_text(spark):
+    text = "\n".join(f"line {k} of it" for k in range(60_000))
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    got = crf_quality.score_quality(made(spark, [(1, "the town"), (2, "$$$ !!!"), (3, text), (3, text)]), labels).collect()
+    assert len(got) == 4 and len({r.score for r in got if r.doc_id == 3}) == 1
+
+
+def test_lexicon_of_bounded_size():
+    """Words without shared ends, longer than the room for them: the lexicon holds the first ones, ids stay the library's."""
+    draw = random.Random(3)
+    words = ["".join(chr(draw.randrange(0x4E00, 0x9FFF)) for _ in range(60)) for _ in range(300)]
+    data = bpe_lexicon.lexicon(words, WORD, 200_000)
+    assert 20_000 < len(data) <= 200_000
+    t = tokenizers.Tokenizer.from_file(WORD)
+    encoder = bpe_lexicon.Encoder(WORD, data)
+    assert encoder.encode_many([" ".join(words)]) == [t.encode(" ".join(words), add_special_tokens=False).ids]
+    assert len(bpe_lexicon.lexicon(words, WORD, 10)) < 300
+
+
 def test_crf_learns_from_whole_texts(spark):
     line = lambda i, words: " ".join(random.Random(i).choices(words, k=9))
     prose = lambda i, n: [line(f"{i} {k}", "the of and a small river town was seen by many people".split()) for k in range(n)]
