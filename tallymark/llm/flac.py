@@ -21,6 +21,7 @@ BLOCK = 576
 _SPLIT = 2  # Rice partitions per frame as a power of two
 _RATE = 8000
 _LPC_BITS = 7
+GROUP = 4096  # frames that are written or read side by side
 
 
 def _crc_table(poly: int, bits: int) -> np.ndarray:
@@ -133,12 +134,48 @@ def _predictor(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return c, residual
 
 
-def write_streams(payloads: list[bytes]) -> list[bytes]:
-    """A FLAC stream of each payload, whose length is a positive multiple of the block; sample = byte - 128."""
-    whole = np.frombuffer(b"".join(payloads), dtype=np.uint8)
-    x = whole.astype(np.int32).reshape(-1, BLOCK) - 128
-    frames = len(x)
+def write_streams(payloads: list[bytes], group: int = GROUP) -> list[bytes]:
+    """A FLAC stream of each payload, whose length is a positive multiple of the block; sample = byte - 128.
+
+    Frames are written in groups, whatever stream they belong to, so memory beyond the streams follows a group.  A
+    payload whose seek table the format can't hold (over 500 MB) is a ValueError.
+    """
     counts = [len(p) // BLOCK for p in payloads]
+    if max(counts) * 18 >= 1 << 24:
+        raise ValueError("the payload has more frames than a seek table holds")
+    x = np.frombuffer(b"".join(payloads), dtype=np.uint8).reshape(-1, BLOCK)
+    numbers = np.concatenate([np.arange(c) for c in counts])
+    parts = [_write_frames(x[at : at + group], numbers[at : at + group]) for at in range(0, len(x), group)]
+    data, lengths = b"".join([d for d, _ in parts]), np.concatenate([n for _, n in parts])
+    begins = np.cumsum(lengths) - lengths
+
+    streams, row = [], 0
+    for payload, n in zip(payloads, counts):
+        lens, start = lengths[row : row + n], int(begins[row])
+        points = np.zeros(n, dtype=[("sample", ">u8"), ("offset", ">u8"), ("size", ">u2")])
+        points["sample"] = np.arange(n) * BLOCK
+        points["offset"] = begins[row : row + n] - start
+        points["size"] = BLOCK
+        pcm = (np.frombuffer(payload, dtype=np.uint8) ^ 0x80).tobytes()
+        info = (
+            BLOCK.to_bytes(2, "big") * 2
+            + int(lens.min()).to_bytes(3, "big")
+            + int(lens.max()).to_bytes(3, "big")
+            + (_RATE << 44 | 0 << 41 | 7 << 36 | len(payload)).to_bytes(8, "big")
+            + hashlib.md5(pcm).digest()
+        )
+        table = points.tobytes()
+        streams.append(
+            b"fLaC" + b"\x00" + len(info).to_bytes(3, "big") + info + b"\x83" + len(table).to_bytes(3, "big") + table
+            + data[start : start + int(lens.sum())]
+        )
+        row += n
+    return streams
+
+
+def _write_frames(payload: np.ndarray, numbers: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """Frames of rows of bytes, one after another, and their lengths."""
+    x = payload.astype(np.int32) - 128
 
     # what each way to write a frame costs
     residuals, costs, parameters = [], [], []
@@ -164,9 +201,9 @@ def write_streams(payloads: list[bytes]) -> list[bytes]:
     coded = np.flatnonzero(~constant & ~verbatim)
     body = np.where(constant, 8, np.where(verbatim, 8 * BLOCK, bits))
 
-    numbers = np.concatenate([np.arange(c) for c in counts])
-    heads = [_head(n) for n in range(max(counts))]
-    head_length = np.array([len(h) for h in heads])[numbers]
+    different, number = np.unique(numbers, return_inverse=True)
+    heads = [_head(n) for n in different.tolist()]
+    head_length = np.array([len(h) for h in heads])[number]
     lengths = head_length + (8 + body + 7) // 8 + 2
     begins = np.cumsum(lengths) - lengths
     out = np.zeros(int(lengths.sum()) * 8, dtype=np.uint8)  # a bit each
@@ -179,7 +216,7 @@ def write_streams(payloads: list[bytes]) -> list[bytes]:
     for size in np.unique(head_length):
         rows = np.flatnonzero(head_length == size)
         alike = np.stack([b if len(b) == 8 * size else np.zeros(8 * size, dtype=np.uint8) for b in as_bits])
-        out[(8 * begins[rows])[:, None] + np.arange(8 * size)] = alike[numbers[rows]]
+        out[(8 * begins[rows])[:, None] + np.arange(8 * size)] = alike[number[rows]]
     at = 8 * (begins + head_length)
     kind = np.where(constant, 0, np.where(verbatim, 1, np.where(way == 4, 32 + 1, 8 + way)))
     put(at, kind << 1, 8)
@@ -223,29 +260,7 @@ def write_streams(payloads: list[bytes]) -> list[bytes]:
     crc = _frame_crcs(data, begins, lengths - 2)
     data[begins + lengths - 2] = crc >> 8
     data[begins + lengths - 1] = crc & 0xFF
-
-    streams, row = [], 0
-    for payload, n in zip(payloads, counts):
-        lens, start = lengths[row : row + n], begins[row]
-        points = np.zeros(n, dtype=[("sample", ">u8"), ("offset", ">u8"), ("size", ">u2")])
-        points["sample"] = np.arange(n) * BLOCK
-        points["offset"] = begins[row : row + n] - start
-        points["size"] = BLOCK
-        pcm = (np.frombuffer(payload, dtype=np.uint8) ^ 0x80).tobytes()
-        info = (
-            BLOCK.to_bytes(2, "big") * 2
-            + int(lens.min()).to_bytes(3, "big")
-            + int(lens.max()).to_bytes(3, "big")
-            + (_RATE << 44 | 0 << 41 | 7 << 36 | len(payload)).to_bytes(8, "big")
-            + hashlib.md5(pcm).digest()
-        )
-        table = points.tobytes()
-        streams.append(
-            b"fLaC" + b"\x00" + len(info).to_bytes(3, "big") + info + b"\x83" + len(table).to_bytes(3, "big") + table
-            + data[start : start + int(lens.sum())].tobytes()
-        )
-        row += n
-    return streams
+    return data.tobytes(), lengths
 
 
 # ---------------------------------------------------------------- reading
@@ -418,8 +433,8 @@ def read_frames(data: np.ndarray, begins: np.ndarray, lengths: np.ndarray, block
     return out
 
 
-def read_streams(streams: list[bytes]) -> list[bytes]:
-    """The payloads of streams, verified."""
+def read_streams(streams: list[bytes], group: int = GROUP) -> list[bytes]:
+    """The payloads of streams, verified; frames are read in groups, whatever stream they belong to."""
     heads = [_metadata(s) for s in streams]
     data = np.frombuffer(b"".join([s[h["frames"] :] for s, h in zip(streams, heads)]), dtype=np.uint8)
     begins, lengths, base = [], [], 0
@@ -432,8 +447,13 @@ def read_streams(streams: list[bytes]) -> list[bytes]:
     block = heads[0]["block"]
     if any(h["block"] != block for h in heads):
         raise ValueError("streams of one group have one block size")
-    samples = read_frames(data, np.concatenate(begins), np.concatenate(lengths), block)
-    flat = samples.astype(np.int8).reshape(-1).view(np.uint8)
+    begin, length = np.concatenate(begins), np.concatenate(lengths)
+    parts = []
+    for at in range(0, len(begin), group):
+        own, end = slice(at, at + group), min(at + group, len(begin)) - 1
+        frames = data[begin[at] : begin[end] + length[end]]
+        parts.append(read_frames(frames, begin[own] - begin[at], length[own], block).astype(np.int8))
+    flat = np.concatenate(parts).reshape(-1).view(np.uint8)
     out, row = [], 0
     for h in heads:
         pcm = flat[row : row + h["samples"]]
