@@ -18,47 +18,29 @@ def compress(data: bytes) -> bytes:
     return pa.compress(data, codec="lz4_raw", asbytes=True) if data else b""
 
 
-def block_size(data: bytes) -> int:
-    """The size a block decompresses to, from its sequences of literals and matches."""
-
-    def extended(n: int, at: int) -> tuple[int, int]:
-        if n == 15:
-            while True:
-                more = data[at]
-                n, at = n + more, at + 1
-                if more < 255:
-                    break
-        return n, at
-
-    size = at = 0
+def _fits(data: bytes, size: int) -> bytes | None:
+    """The block's content in a buffer of ``size`` bytes, None if it is no block or has more."""
     try:
-        while at < len(data):
-            token = data[at]
-            literals, at = extended(token >> 4, at + 1)
-            size, at = size + literals, at + literals
-            if at == len(data):
-                return size
-            match, at = extended(token & 15, at + 2)
-            size += match + 4
-    except IndexError:
-        pass
-    raise ValueError("not an LZ4 block")
+        return pa.decompress(data, decompressed_size=size, codec="lz4_raw", asbytes=True)
+    except (OSError, pa.ArrowException):
+        return None
 
 
 def decompress(data: bytes, size: int) -> bytes:
-    """Exactly ``size`` bytes, else an error."""
+    """Exactly ``size`` bytes, else an error.
+
+    A block doesn't say how much it holds: it holds ``size`` bytes if they fit that room and not one byte less.
+    """
     if not 0 <= size <= MAX_OUTPUT:
         raise ValueError(f"size must lie in 0..{MAX_OUTPUT}")
     if size == 0:
         if data:
             raise ValueError("the block holds more than the size given")
         return b""
-    if block_size(data) != size:
-        raise ValueError("the block doesn't hold the size given")
-    try:
-        return pa.decompress(data, decompressed_size=size, codec="lz4_raw", asbytes=True)
-    except (OSError, pa.ArrowException) as e:
-        raise ValueError("not an LZ4 block of that size") from e
+    content = _fits(data, size)
+    if content is None or _fits(data, size - 1) is not None:
+        raise ValueError("not an LZ4 block of that size")
+    return content
 
 
 @F.pandas_udf(BinaryType())

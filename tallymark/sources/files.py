@@ -37,18 +37,36 @@ def stat_row(path: str) -> tuple | None:
     return (path, s.st_ino & _INO_BITS, s.st_mtime_ns, s.st_ctime_ns, s.st_size)
 
 
-def hash_file(path: str, seed: int = 0, chunk: int = 1 << 20) -> bytes | None:
+def _hash_open(f, seed: int, chunk: int = 1 << 20) -> bytes:
+    state = xxhash.xxh3_128(seed=seed)
+    while data := f.read(chunk):
+        state.update(data)
+    return state.digest()
+
+
+def hash_file(path: str, seed: int = 0) -> bytes | None:
     """A file's digest read in chunks, so size doesn't matter; None if it can't be read."""
     try:
-        state = xxhash.xxh3_128(seed=seed)
         with open(path, "rb") as f:
-            while data := f.read(chunk):
-                state.update(data)
-        return state.digest()
+            return _hash_open(f, seed)
     except (OSError, ValueError):
         return None
 
 
+def stat_and_hash(path: str) -> tuple | None:
+    """``stat_row`` and the digest of one and the same opened file; the digest is None if only stat can be had."""
+    try:
+        # a pipe doesn't hold the opening up
+        with os.fdopen(os.open(path, os.O_RDONLY | os.O_NONBLOCK | os.O_CLOEXEC), "rb") as f:
+            s = os.fstat(f.fileno())
+            if not stat_of.S_ISREG(s.st_mode):
+                return None
+            return (path, s.st_ino & _INO_BITS, s.st_mtime_ns, s.st_ctime_ns, s.st_size, _hash_open(f, 0))
+    except (OSError, ValueError):
+        row = stat_row(path)
+        return row and (*row, None)
+
+
 class FileStatSource(DataSource):
     """``spark.read.format("file_stat").load(directory)``: nanosecond stat rows of a tree, a task per top directory.
 
@@ -83,9 +101,9 @@ class FileStatReader(DataSourceReader):
                 folders.clear()
             folders.sort()
             for name in sorted(names):
-                row = stat_row(os.path.join(folder, name))
+                row = (stat_and_hash if self._with_hash else stat_row)(os.path.join(folder, name))
                 if row is not None:
-                    yield (*row, hash_file(row[0])) if self._with_hash else row
+                    yield row
 
 
 def stat_paths(paths: DataFrame, path_col: str = "path", with_hash: bool = False) -> DataFrame:
@@ -97,11 +115,12 @@ def stat_paths(paths: DataFrame, path_col: str = "path", with_hash: bool = False
     def run(batches):
         for b in batches:
             listed = b.column(0).to_pylist()
-            rows = [stat_row(p) if p else None for p in listed]
+            look = stat_and_hash if with_hash else stat_row
+            rows = [look(p) if p else None for p in listed]
             columns = [pa.array(listed, pa.string())] + [pa.array([r and r[i] for r in rows], pa.int64()) for i in range(1, 5)]
             names = ["path", "ino", "mtime_ns", "ctime_ns", "size"]
             if with_hash:
-                columns.append(pa.array([hash_file(p) if r else None for p, r in zip(listed, rows)], pa.binary()))
+                columns.append(pa.array([r and r[5] for r in rows], pa.binary()))
                 names.append("content_hash")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
